@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from .common import steps
 
@@ -92,7 +92,7 @@ def pack(df: DataFrame, ranks_file: bytes, pattern: str, id_col: str = "doc_id",
     names = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     out = StructType([df.schema[id_col], *(StructField(n, LongType()) for n in names)])
     if with_ids:
-        out = out.add("ids", "array<long>")
+        out = out.add("ids", ArrayType(IntegerType()))
 
     arrow = to_arrow_schema(out)
 
@@ -109,7 +109,9 @@ def pack(df: DataFrame, ranks_file: bytes, pattern: str, id_col: str = "doc_id",
             arrays += [pa.array([zlib.crc32(ids.astype("<u4").tobytes()) for ids in cols[7]], pa.int64())]
             arrays += [pa.array(cols[3], pa.int64()), pa.array([base + s for s in cols[4]], pa.int64()), pa.array(cols[5], pa.int64())]
             if with_ids:
-                arrays.append(pa.array([ids.tolist() for ids in cols[7]], arrow.field("ids").type))
+                offsets = np.concatenate(([0], np.cumsum([len(ids) for ids in cols[7]], dtype=np.int64))).astype(np.int32)
+                flat = np.concatenate(cols[7]) if cols[7] else np.empty(0)
+                arrays.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(np.int32))).cast(arrow.field("ids").type))
             return pa.RecordBatch.from_arrays(arrays, schema=arrow)
 
         for batch in batches:
