@@ -1 +1,3 @@
+"""Scalar functions by family."""
 
+from . import scalars  # noqa: F401

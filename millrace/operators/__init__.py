@@ -1 +1,3 @@
+"""Relational operators: filters, joins, aggregates, windows, sorts, set operations, user-defined functions."""
 
+from . import aggregates, filters, joins, sets, udfs, windows  # noqa: F401

@@ -10,7 +10,7 @@ from millrace.session import tables
 
 
 @query("""
-select n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue, count(*) as n
+select n_name, round(sum(l_extendedprice * (1 - l_discount)), 4) as revenue, count(*) as n
 from region join nation on n_regionkey = r_regionkey join customer on c_nationkey = n_nationkey
 join orders on o_custkey = c_custkey join lineitem on l_orderkey = o_orderkey
 join supplier on s_suppkey = l_suppkey and s_nationkey = c_nationkey
@@ -23,4 +23,4 @@ def star_revenue_by_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = lineitem.select("l_orderkey", "l_suppkey", "l_extendedprice", "l_discount").join(placed, F.col("l_orderkey") == F.col("o_orderkey"))
     sold = lines.join(supplier.select("s_suppkey", "s_nationkey"), (F.col("l_suppkey") == F.col("s_suppkey")) & (F.col("s_nationkey") == F.col("c_nationkey")))
     named = sold.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey"))
-    return named.groupBy("n_name").agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.count("*").alias("n"))
+    return named.groupBy("n_name").agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 4).alias("revenue"), F.count("*").alias("n"))

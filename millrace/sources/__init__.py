@@ -1 +1,3 @@
+"""Sources and sinks."""
 
+from . import custom, formats  # noqa: F401
