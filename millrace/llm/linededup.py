@@ -1,8 +1,8 @@
 """Line dedup: winnowing over line hashes.
 
 A text's units are its lines, each cut after the ends of its sentences, since what is copied into a text seldom starts
-with its line. A window is the shortest run of units from some unit on that has at least `min_words` words. Winnowing
-selects from each window the unit with the smallest hash (the rightmost of equals): any run of `min_words` words that
+with its line. A window is the shortest run of units from some unit on, or up to some unit, that has at least
+`min_words` words; together the windows inside a longer run cover all of it. Winnowing selects from each window the unit with the smallest hash (the rightmost of equals): any run of `min_words` words that
 two texts share has a window of its own, and so the same selected unit in both: a guaranteed fingerprint. Positions
 are joined on the fingerprints; those that occur once are done with. From each position that is left the match is
 extended both ways, to all windows that hold it; of windows of equal content the first (by id, then position) stays,
@@ -63,9 +63,14 @@ def windows(hashes: np.ndarray, words: np.ndarray, doc_ends: np.ndarray, min_wor
         return empty, empty, empty, np.empty(0, np.uint64)
     total = np.concatenate(([0], np.cumsum(words)))
     end = np.searchsorted(total, total[:-1] + min_words, side="left") - 1
-    last = np.repeat(doc_ends, np.diff(np.concatenate(([0], doc_ends)))) - 1
-    start = np.flatnonzero((end <= last) & (words > 0))  # a window starts with a word
+    sizes = np.diff(np.concatenate(([0], doc_ends)))
+    last = np.repeat(doc_ends, sizes) - 1
+    start = np.flatnonzero((end <= last) & (words > 0))  # a window starts and ends with a word
     end = end[start]
+    before = np.searchsorted(total, total[1:] - min_words, side="right") - 1
+    up_to = np.flatnonzero((before >= np.repeat(doc_ends - sizes, sizes)) & (words > 0))
+    both = np.unique(np.concatenate((start * n + end, before[up_to] * n + up_to)))
+    start, end = both // n, both % n
     length = end - start + 1
     # Content: polynomial hash of the units' hashes, shifted to the window's start; then mixed.
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes * _powers(_BASE, n))))
