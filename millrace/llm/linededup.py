@@ -168,14 +168,15 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             )
 
     prints = written(units.select(id_col, "th", "hashes", "words").mapInArrow(select, fp_schema), "prints")
-    often = prints.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp")
+    # As a table, so that the join shuffles both sides by itself and Spark can split a frequent fingerprint.
+    often = written(prints.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp"), "often")
     found = prints.join(often, "fp", "left_semi").groupBy(id_col, "th").agg(F.collect_list("pos").alias("found"))
     same = units[id_col].eqNullSafe(F.col("__id")) & (units["th"] == F.col("__th"))
     near = units.join(found.select(F.col(id_col).alias("__id"), F.col("th").alias("__th"), "found"), same).select(id_col, "th", "hashes", "words", "found")
     wins = written(near.mapInArrow(extend, win_schema), "windows")
     last = F.col(id_col).isNull().alias("none")
     place = F.struct(last, F.col(id_col).alias("id"), F.col("th").alias("th"), F.col("a").alias("a"), F.col("b").alias("b"))
-    first = wins.groupBy("fp", "content").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    first = written(wins.groupBy("fp", "content").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "first")
     other = ~(F.col(id_col).eqNullSafe(F.col("first.id")) & (F.col("th") == F.col("first.th")))
     later = wins.join(first, ["fp", "content"]).where(other | (F.col("a") > F.col("first.b")))
     spans = later.groupBy(id_col, "th").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("spans"))
