@@ -218,7 +218,8 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     table = hit.mapInPandas(cuts, out).select(F.col(id_col).alias("__id"), F.col("th").alias("__th"), "cut", F.col("kept").alias("__kept"), F.col("n_deleted").alias("__deleted"))
     table = written(table.dropDuplicates(["__id", "__th"]), "cuts")  # repeated rows share one
     docs = df.select(*(c for c in df.columns if c not in ("n_deleted", "cut")))
-    joined = docs.join(table, docs[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text_col]) == F.col("__th")), "left")
+    # A merge join at every size: a broadcast while the table is small would change the plan as the input grows.
+    joined = docs.join(table.hint("merge"), docs[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text_col]) == F.col("__th")), "left")
     text = F.when(F.col("__kept").isNull(), F.col(text_col)).otherwise(F.concat_ws("", F.transform("__kept", lambda k: F.substring(F.col(text_col), k["a"] + 1, k["n"]))))
     rest = [text.alias(text_col) if c == text_col else F.col(c) for c in docs.columns]
     return joined.select(*rest, F.coalesce("__deleted", F.lit(0)).alias("n_deleted"), F.col("cut"))

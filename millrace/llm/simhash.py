@@ -247,5 +247,5 @@ def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     found = near_duplicates(df, id_col, text_col, words, distance)
     stay = written(found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("__stay")).count(), "stay")
-    out = df.join(stay, df[id_col].eqNullSafe(F.col("__stay")), "left_semi")
+    out = df.join(stay.hint("merge"), df[id_col].eqNullSafe(F.col("__stay")), "left_semi")
     return out if stay.where("count > 1").isEmpty() else out.dropDuplicates([id_col])
