@@ -35,8 +35,8 @@ SLOTS = (32, 128, 512)
 
 def words_of(text: Column) -> Column:
     """XXH64 of each lower-cased word, repeats included."""
-    plain = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[\s\p{Punct}]+", " "))
-    return F.transform(F.filter(F.split(plain, " "), lambda w: w != ""), lambda w: F.xxhash64(w))
+    parts = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\s\p{Punct}]+")
+    return F.transform(F.filter(parts, lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
 def document_frequencies(df: DataFrame, text_col: str = "text", fold_bits: int = FOLD_BITS) -> DataFrame:
@@ -90,10 +90,15 @@ def subset_hashes(terms: Column) -> Column:
     """array<int>: for each subset the hash of its terms in order, 0 for a subset without terms."""
 
     def one_kind(own: Column, slot) -> Column:
-        def one(j: Column) -> Column:
-            return _let(F.filter(own, lambda h: slot(h) == j), lambda t: F.when(F.size(t) > 0, (F.shiftrightunsigned(F.xxhash64(t), 33) + 1).cast("int")).otherwise(F.lit(0)))
+        # By eights first: each term is then looked at 4 + 8 times, not 32 times.
+        def one(part: Column, j: Column) -> Column:
+            return _let(F.filter(part, lambda h: slot(h) == j), lambda t: F.when(F.size(t) > 0, (F.shiftrightunsigned(F.xxhash64(t), 33) + 1).cast("int")).otherwise(F.lit(0)))
 
-        return F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), one)
+        def eight(q: Column) -> Column:
+            part = F.filter(own, lambda h: F.shiftright(slot(h), 3) == q)
+            return _let(part, lambda p: F.transform(F.sequence(q * 8, q * 8 + 7), lambda j: one(p, j)))
+
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(PARTS // 8 - 1)), eight))
 
     kinds, shift = [], 24
     for slots in SLOTS:
