@@ -122,6 +122,16 @@ def unit_table(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return texts.mapInArrow(run, out)
 
 
+#: Documents whose units one step of a worker holds.
+STEP_DOCS = 1000
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for a in range(0, batch.num_rows, STEP_DOCS):
+            yield batch.slice(a, STEP_DOCS)
+
+
 def _flat(batch: pa.RecordBatch, name: str) -> np.ndarray:
     return batch.column(name).flatten().to_numpy(zero_copy_only=False)
 
@@ -144,7 +154,7 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     win_schema, win_arrow = schema_of("th long, fp long, content long, a int, b int")
 
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             hashes, ends = _flat(batch, "hashes").view(np.uint64), _ends(batch, "hashes")
             _, _, at, _ = windows(hashes, _flat(batch, "words"), ends, min_words)
             at = np.unique(at)
@@ -154,7 +164,7 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(hashes[at].view(np.int64)), pa.array((at - begin).astype(np.int32))], schema=fp_arrow)
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             hashes, ends = _flat(batch, "hashes").view(np.uint64), _ends(batch, "hashes")
             start, end, at, content = windows(hashes, _flat(batch, "words"), ends, min_words)
             begin = np.concatenate(([0], ends))
