@@ -7,7 +7,7 @@ host's prior is smoothed hierarchically: all documents, then the suffix, then th
 with `strength` pseudo-documents for the one below; all counts are sums of text posteriors by grouped aggregation over
 all documents, so a host of any size is summed on the map side.
 
-The trigram model is fitted on a bounded sample (`sample` documents a language with the smallest hash), whose texts are
+The trigram model is fitted on a sample of about `sample` distinct texts a language (those with small hashes), which are
 cut into trigrams whole and summed on the executors; only the model's table (2^16 rows a language) reaches the driver.
 
 The priors go to the rows by a broadcast only where they have at most `broadcast_hosts` rows, else by a shuffled join.
@@ -20,7 +20,7 @@ rows are counted and returned each; an empty table gives an empty result.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import over_texts, written
@@ -65,15 +65,16 @@ def letter_share(text: str | None) -> float:
 
 
 def fit_trigrams(df: DataFrame, languages: list[str], label_col: str = "lang", text_col: str = "text", sample: int = SAMPLE) -> np.ndarray:
-    """Log probabilities, languages x TABLE, from at most `sample` labelled texts a language."""
-    picked = df.where(F.col(label_col).isin(languages) & F.col(text_col).isNotNull()).select(label_col, F.xxhash64(text_col, F.lit(7)).alias("h"))
-    bound = picked.withColumn("at", F.row_number().over(Window.partitionBy(label_col).orderBy("h"))).where(F.col("at") <= sample).groupBy(label_col).agg(F.max("h").alias("most"))
-    most = {r[0]: r[1] for r in bound.collect()}
+    """Log probabilities, languages x TABLE, from about `sample` distinct labelled texts a language."""
+    h = F.xxhash64(text_col, F.lit(7))
+    # Hashes are even over their range, so a share of it is a sample; nothing is sorted.
+    known = df.where(F.col(label_col).isin(languages) & F.col(text_col).isNotNull()).groupBy(label_col).agg(F.approx_count_distinct(h))
+    most = {r[0]: (1 << 63) - 1 if r[1] <= sample else -(1 << 63) + (1 << 64) * sample // r[1] for r in known.collect()}
     # Copies of one text have one hash: a copied text counts once.
     texts = df.where(F.col(text_col).isNotNull())
     cond = F.lit(False)
-    for lang, h in most.items():
-        cond = cond | ((F.col(label_col) == lang) & (F.xxhash64(text_col, F.lit(7)) <= h))
+    for lang, bound in most.items():
+        cond = cond | ((F.col(label_col) == lang) & (h <= bound))
     texts = texts.where(cond).select(label_col, text_col).distinct()
     names = {lang: i for i, lang in enumerate(languages)}
 
