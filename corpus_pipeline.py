@@ -33,9 +33,9 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the passages that an earlier one has; n_chars follows the text."""
+    """Documents without the passages that an earlier one has; one that has nothing else goes. n_chars follows the text."""
     own = _aliased(docs)
-    done = linededup.dedup_lines(own).select(own.columns).toDF(*docs.columns)
+    done = linededup.dedup_lines(own).where((F.col("n_deleted") == 0) | (F.trim("text") != "")).select(own.columns).toDF(*docs.columns)
     return done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else done
 
 

@@ -280,3 +280,8 @@ def test_pipeline(spark, odd, tmp_path):
             now = stage(spark, now, str(tmp_path))
             assert now.columns == table.columns
         assert corpus_pipeline.packing_stage(spark, now, str(tmp_path)).count() >= 0
+
+
+def test_line_stage_drops_what_is_all_copied(spark, odd, tmp_path):
+    kept = sorted(r["doc_id"] for r in corpus_pipeline.line_stage(spark, odd.where("doc_id is not null").dropDuplicates(["doc_id"]), str(tmp_path)).collect())
+    assert kept == [0, 1, 2, 4, 5, 7, 8, 9, 10]  # 6 and 11 hold nothing but what 5 and 8 have; empty ones stay
