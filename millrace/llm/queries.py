@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, chat, imatch, langid, linededup, packing, pieces, quality, simhash, urlfilter
-from .common import read_table
+from .common import read_table, read_texts
 
 LANGUAGES = ["de", "en", "es", "fr"]
 
@@ -35,7 +35,7 @@ def fit_quality(docs: DataFrame, sf_dir: str) -> quality.Model:
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    docs = read_texts(spark, sf_dir)
     scored = quality.score(docs, fit_quality(docs, sf_dir), ["doc_id"])
     return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", "predicted", "difference")
 
@@ -45,12 +45,12 @@ def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    docs = read_texts(spark, sf_dir)
     return pieces.encode(docs, tokenizer_file("piece_bpe_32k.model"), with_ids=False)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = simhash.near_duplicates(read_table(spark, sf_dir, "documents"), words=4)
+    found = simhash.near_duplicates(read_texts(spark, sf_dir), words=4)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
@@ -61,13 +61,25 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(turns.union(own)))
 
 
+def op5_sql() -> str:
+    """A turn adds 24 characters of its own, and one for each control string (of any number of backslashes) it escapes."""
+    said = "<|im_end|><|im_start|>assistant ok"
+    control = r"<\\*\|(?:im_start|im_end)\|>"
+    return f"""
+with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+union all select -1, 0, 'user', '{said}' union all select -1, 1, 'assistant', '{said}')
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn)) as turns_sha256,
+cast(sum(case when role = 'assistant' then length(text) else 0 end) as bigint) as loss_chars, sha256(string_agg(case when role = 'assistant' then text else '' end, '' order by turn)) as loss_sha256,
+cast(sum(length(role) + length(text) + 24 + len(regexp_extract_all(text, '{control}'))) as bigint) as formatted_chars from t group by conv_id"""
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    docs = read_texts(spark, sf_dir)
     return packing.pack(docs, tokenizer_file("byte_bpe_50k.tiktoken"), tokenizer_pattern())
 
 
 def op7_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    docs = read_texts(spark, sf_dir)
     return imatch.edited_and_next(docs, imatch.lexicon(docs))
 
 
@@ -108,11 +120,11 @@ def identify_documents(docs: DataFrame, kept: list[str]) -> DataFrame:
 
 
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return identify_documents(read_table(spark, sf_dir, "documents"), ["doc_id"])
+    return identify_documents(read_texts(spark, sf_dir), ["doc_id"])
 
 
 def op10_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = linededup.dedup_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    done = linededup.dedup_lines(read_texts(spark, sf_dir).select("doc_id", "text"))
     return done.select("doc_id", "text", "n_deleted", "cut")
 
 
@@ -121,4 +133,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_urlfilter": op8_sql()}
+    return {"op5_chat": op5_sql(), "op8_urlfilter": op8_sql()}
