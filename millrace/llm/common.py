@@ -65,12 +65,28 @@ def steps(texts: list[str | None], limit: int = STEP_CHARS) -> Iterator[tuple[in
         yield start, len(texts)
 
 
+#: Rows and bytes of text that go to a Python worker at once.
+BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches to what texts need, so that memory follows these bounds. Never raises them."""
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(spark.conf.get(rows))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(rows, BATCH_ROWS)
+    held = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(size))
+    if held <= 0 or held > BATCH_BYTES:
+        spark.conf.set(size, f"{BATCH_BYTES}b")
+
+
 def over_texts(df: DataFrame, kept: list[str], text: str, schema: str, rows: Callable[[list[str | None]], dict[str, Iterable]]) -> DataFrame:
     """Applies `rows` to the texts, step by step; `kept` columns go through unchanged before the new ones of `schema`.
 
     The text may be one of the kept columns; it is then sent once.
     """
 
+    small_batches(df.sparkSession)
     new = _parse_datatype_string(schema)
     out = StructType([*(df.schema[c] for c in kept), *new.fields])
     arrow = to_arrow_schema(out)

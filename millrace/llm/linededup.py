@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
-from .common import steps, written
+from .common import small_batches, steps, written
 
 MIN_WORDS = 30
 _BASE = 0x9E3779B97F4A7C15
@@ -143,6 +143,7 @@ def _ends(batch: pa.RecordBatch, name: str) -> np.ndarray:
 def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
     """The unit table, and (id, th, spans): merged ranges of later repeated units, as array<struct<a, b>>, b inclusive."""
 
+    small_batches(df.sparkSession)
     units = written(unit_table(df, id_col, text_col), "units")
     kind = df.schema[id_col]
 

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from .common import steps
+from .common import small_batches, steps
 
 WINDOW = 2048
 END_ID = 1
@@ -88,6 +88,7 @@ class Packer:
 def pack(df: DataFrame, ranks_file: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text", size: int = WINDOW, end_id: int = END_ID, slack: float = SLACK, with_ids: bool = False) -> DataFrame:
     """One row for each piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and with `with_ids` the ids."""
     spark = df.sparkSession
+    small_batches(spark)
     shared = spark.sparkContext.broadcast((ranks_file, pattern))
     names = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     out = StructType([df.schema[id_col], *(StructField(n, LongType()) for n in names)])
