@@ -53,16 +53,20 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def steps(texts: list[str | None], limit: int = STEP_CHARS) -> Iterator[tuple[int, int]]:
-    """Ranges of `texts` with about `limit` characters each, so that memory follows `limit`, not the batch."""
-    start = chars = 0
-    for i, t in enumerate(texts):
-        chars += len(t or "")
+def steps_of(sizes: Iterable[int], limit: int = STEP_CHARS) -> Iterator[tuple[int, int]]:
+    """Ranges of texts with about `limit` characters each, so that memory follows `limit`, not the batch."""
+    start = end = chars = 0
+    for size in sizes:
+        end, chars = end + 1, chars + int(size)
         if chars >= limit:
-            yield start, i + 1
-            start, chars = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+            yield start, end
+            start, chars = end, 0
+    if start < end:
+        yield start, end
+
+
+def steps(texts: list[str | None], limit: int = STEP_CHARS) -> Iterator[tuple[int, int]]:
+    return steps_of((len(t or "") for t in texts), limit)
 
 
 #: Rows and bytes of text that go to a Python worker at once.

@@ -1,9 +1,11 @@
 """Line dedup: winnowing over line hashes.
 
-A text's units are its lines, each cut after the ends of its sentences, since what is copied into a text seldom starts
-with its line. A window is the shortest run of units from some unit on, or up to some unit, that has at least
-`min_words` words; together the windows inside a longer run cover all of it. Winnowing selects from each window the unit with the smallest hash (the rightmost of equals): any run of `min_words` words that
-two texts share has a window of its own, and so the same selected unit in both: a guaranteed fingerprint. Positions
+A text's units are its lines, each cut after the ends of its sentences and after one space in `CUT_ONE_IN`, since what
+is copied into a text seldom starts with its line or a sentence. Which spaces those are follows from the bytes before them
+alone, so two copies are cut alike wherever they stand. A window is the shortest run of units from some unit on, or up to
+some unit, that has at least `min_words` words; together the windows inside a longer run cover all of it. Winnowing
+selects from each window the unit with the smallest hash (the rightmost of equals): any run of units with `min_words`
+words that two texts share has a window of its own, and so the same selected unit in both: a guaranteed fingerprint. Positions
 are joined on the fingerprints; those that occur once are done with. From each position that is left the match is
 extended both ways, to all windows that hold it; of windows of equal content the first (by id, then position) stays,
 and the units of all later ones are deleted, unless they overlap the first itself.
@@ -13,8 +15,8 @@ stays. Matches are made through the first occurrence, never in pairs, and all ke
 shuffled, so a passage that a third of all documents share costs one row for each occurrence.
 
 Nulls and edges: a null text stays null; rows that share both id and text are treated alike, as one document; a null id
-comes last; empty texts have no units; texts without sentence ends are units as a whole; an empty table gives an empty
-result. Equality is that of two 64-bit hashes, of the window and of its selected unit.
+comes last; empty texts have no units; words are runs without ASCII white space, and a text without any is one unit; an
+empty table gives an empty result. Equality is that of two 64-bit hashes, of the window and of its selected unit.
 """
 
 from __future__ import annotations
@@ -23,29 +25,56 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
-from .common import small_batches, steps, written
+from .common import small_batches, steps_of, written
 
 MIN_WORDS = 30
+#: One in this many spaces ends a unit, by the bytes before it (`TAIL` of them); sentences and lines always do.
+CUT_ONE_IN, TAIL = 4, 8
 _BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
+def cut_units(data: np.ndarray, ends: np.ndarray, one_in: int = CUT_ONE_IN) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first byte, words, characters) of each unit and the units of each text; texts lie end to end in UTF-8, `ends` exclusive."""
+    starts = np.concatenate((np.zeros(1, np.int64), ends[:-1])) if len(ends) else ends
+    if not len(data):
+        none = np.empty(0, np.int64)
+        return none, none, none, np.zeros(len(ends), np.int64)
+    at = np.flatnonzero(data == 32)
+    room = at - starts[np.searchsorted(ends, at, side="right")]
+    tail = np.zeros(len(at), np.uint64)
+    for k in range(1, TAIL + 1):  # the bytes before the space; `room` keeps them within the text
+        tail = (tail << np.uint64(8)) | data[np.maximum(at - k, 0)]
+    mixed = (tail * np.uint64(_BASE)) >> np.uint64(40)
+    chosen = (room >= TAIL) & (mixed % np.uint64(one_in) == 0)
+    stop = (room >= 1) & np.isin(data[np.maximum(at - 1, 0)], np.frombuffer(b".!?", np.uint8))
+    is_start = np.zeros(len(data) + 1, bool)
+    is_start[starts] = True
+    is_start[at[chosen | stop] + 1] = True
+    is_start[np.flatnonzero(data == 10) + 1] = True
+    begin = np.flatnonzero(is_start[:-1])
+    ink = (data != 32) & ((data < 9) | (data > 13))
+    first = ink.copy()
+    first[1:] &= ~ink[:-1] | is_start[1:-1]
+    words = np.add.reduceat(first, begin, dtype=np.int64)
+    chars = np.add.reduceat((data & 0xC0) != 0x80, begin, dtype=np.int64)
+    per_text = np.searchsorted(begin, ends) - np.searchsorted(begin, starts)
+    return begin, words, chars, per_text
+
+
 def units_of(text: str) -> list[str]:
-    """The text cut after each newline and after each `. `, `! ` and `? `; joined they are the text."""
-    mark = "\x00"
-    if mark in text:
-        mark = next(chr(c) for c in range(0xE000, 0x10FFFE) if chr(c) not in text)
-    for end in ("\n", ". ", "! ", "? "):
-        text = text.replace(end, end + mark)
-    out = text.split(mark)
-    return out if out[-1] else out[:-1]
+    """The units of one text; joined they are the text."""
+    raw = text.encode("utf-8", "surrogatepass")
+    bounds = [*cut_units(np.frombuffer(raw, np.uint8), np.array([len(raw)], np.int64))[0].tolist(), len(raw)]
+    return [raw[a:b].decode("utf-8", "surrogatepass") for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -96,6 +125,14 @@ def windows(hashes: np.ndarray, words: np.ndarray, doc_ends: np.ndarray, min_wor
     return start, end, selected, content
 
 
+def _bytes_of(texts: pa.Array) -> tuple[bytes, np.ndarray]:
+    """The texts end to end in UTF-8, and where each ends (exclusive)."""
+    wide = texts.cast(pa.large_binary())
+    _, offsets, data = wide.buffers()
+    at = np.frombuffer(offsets, np.int64, len(wide) + 1, wide.offset * 8)
+    return (data[at[0] : at[-1]].to_pybytes() if data is not None else b""), at[1:] - at[0]
+
+
 def unit_table(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, th, hashes, words, lens): for each text its units' hashes, words and characters."""
 
@@ -105,17 +142,13 @@ def unit_table(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh64_intdigest
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            for a, b in steps(texts):
-                units = [units_of(t) for t in texts[a:b]]
-                flat = [u for us in units for u in us]
-                offsets = pa.array(np.concatenate(([0], np.cumsum([len(us) for us in units]))), pa.int32())
-                columns = [
-                    np.fromiter((digest(u.strip().encode("utf-8", "surrogatepass"), 42) for u in flat), np.uint64, len(flat)).view(np.int64),
-                    np.fromiter((len(u.split()) for u in flat), np.int32, len(flat)),
-                    np.fromiter(map(len, flat), np.int32, len(flat)),
-                ]
-                lists = [pa.ListArray.from_arrays(offsets, pa.array(c)) for c in columns]
+            for a, b in steps_of(pc.binary_length(batch.column(2)).to_numpy(zero_copy_only=False)):
+                raw, ends = _bytes_of(batch.column(2).slice(a, b - a))
+                begin, words, chars, per_text = cut_units(np.frombuffer(raw, np.uint8), ends)
+                bounds = [*begin.tolist(), len(raw)]
+                hashes = np.fromiter((digest(raw[i:j].strip(), 42) for i, j in zip(bounds[:-1], bounds[1:], strict=True)), np.uint64, len(begin))
+                offsets = pa.array(np.concatenate(([0], np.cumsum(per_text))), pa.int32())
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(c)) for c in (hashes.view(np.int64), words.astype(np.int32), chars.astype(np.int32))]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), *(x.cast(arrow.field(k + 2).type) for k, x in enumerate(lists))], schema=arrow)
 
     texts = df.where(F.col(text_col).isNotNull()).select(id_col, F.xxhash64(text_col).alias("th"), text_col)

@@ -159,6 +159,29 @@ def test_units_join_to_the_text(text):
     assert "".join(linededup.units_of(text)) == text
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet=list("ab .!?\n\t\x00é日"), max_size=60), max_size=6))
+def test_units_of_texts_end_to_end(texts):
+    raw = [t.encode() for t in texts]
+    begin, words, chars, per_text = linededup.cut_units(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([len(r) for r in raw], dtype=np.int64))
+    units = [linededup.units_of(t) for t in texts]
+    flat = [u for us in units for u in us]
+    assert per_text.tolist() == [len(us) for us in units] and words.tolist() == [len(u.encode().split()) for u in flat]
+    assert chars.tolist() == [len(u) for u in flat] and begin.tolist() == np.cumsum([0, *(len(u.encode()) for u in flat)])[:-1].tolist()
+
+
+def test_a_passage_is_cut_alike_wherever_it_stands():
+    draw = random.Random(3)
+    word = lambda: "".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=draw.randint(2, 9)))
+    short = 0
+    for _ in range(300):
+        passage = " ".join(word() for _ in range(55))
+        a, b = (linededup.units_of(" ".join(word() for _ in range(draw.randint(3, 40))) + f" {passage} " + word()) for _ in range(2))
+        shared = {u for u in a if u in b}
+        short += sum(len(u.split()) for u in shared) < linededup.MIN_WORDS
+    assert short <= 6  # two cuts in the outer 25 words
+
+
 def test_adaptive_scan_finds_most_neighbours():
     rng = np.random.default_rng(0)
     x = rng.standard_normal((3000, 64))
