@@ -7,8 +7,10 @@ some unit, that has at least `min_words` words; together the windows inside a lo
 selects from each window the unit with the smallest hash (the rightmost of equals): any run of units with `min_words`
 words that two texts share has a window of its own, and so the same selected unit in both: a guaranteed fingerprint. Positions
 are joined on the fingerprints; those that occur once are done with. From each position that is left the match is
-extended both ways, to all windows that hold it; of windows of equal content the first (by id, then position) stays,
-and the units of all later ones are deleted, unless they overlap the first itself.
+extended both ways, to its reach: all windows that select it. Where a whole reach occurs before (by id, then position),
+its units are deleted; the positions that remain, if their fingerprint still occurs more than once, are matched window by
+window: of windows of equal content the first stays, and the units of all later ones are deleted. What overlaps its own
+first occurrence stays. A reach holds its windows wherever it occurs, so the result is that of matching all windows.
 
 So exactly those units go that lie in a run of at least `min_words` words which occurs before. Some copy of every unit
 stays. Matches are made through the first occurrence, never in pairs, and all keys are summed before they are
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
-from .common import small_batches, steps_of, written
+from .common import discard, small_batches, steps_of, written
 
 MIN_WORDS = 30
 #: One in this many spaces ends a unit, by the bytes before it (`TAIL` of them); sentences and lines always do.
@@ -84,6 +86,25 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
+def contents(hashes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The hash of each run of units: polynomial in the units' hashes, shifted to the run's start; then mixed."""
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes * _powers(_BASE, len(hashes)))))
+    content = (sums[end + 1] - sums[start]) * _powers(_INVERSE, len(hashes))[start]
+    content ^= content >> np.uint64(31)
+    content *= np.uint64(0xBF58476D1CE4E5B9)
+    return content ^ (content >> np.uint64(29))
+
+
+def reaches(start: np.ndarray, end: np.ndarray, selected: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(selected unit, start, end) of the union of all windows that select the same unit."""
+    order = np.argsort(selected, kind="stable")
+    at = selected[order]
+    first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else np.empty(0, np.int64)
+    if not len(first):
+        return at, start, end
+    return at[first], np.minimum.reduceat(start[order], first), np.maximum.reduceat(end[order], first)
+
+
 def windows(hashes: np.ndarray, words: np.ndarray, doc_ends: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(start, end inclusive, selected, content hash) of each window; documents lie end to end, `doc_ends` exclusive."""
     n = len(hashes)
@@ -101,12 +122,7 @@ def windows(hashes: np.ndarray, words: np.ndarray, doc_ends: np.ndarray, min_wor
     both = np.unique(np.concatenate((start * n + end, before[up_to] * n + up_to)))
     start, end = both // n, both % n
     length = end - start + 1
-    # Content: polynomial hash of the units' hashes, shifted to the window's start; then mixed.
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes * _powers(_BASE, n))))
-    content = (sums[end + 1] - sums[start]) * _powers(_INVERSE, n)[start]
-    content ^= content >> np.uint64(31)
-    content *= np.uint64(0xBF58476D1CE4E5B9)
-    content ^= content >> np.uint64(29)
+    content = contents(hashes, start, end)
     # Rightmost minimum of each window: two overlapping ranges whose length is a power of two.
     selected = np.zeros(len(start), np.int64)
     best = np.arange(n)
@@ -173,8 +189,8 @@ def _ends(batch: pa.RecordBatch, name: str) -> np.ndarray:
     return np.cumsum(batch.column(name).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
 
 
-def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
-    """The unit table, and (id, th, spans): merged ranges of later repeated units, as array<struct<a, b>>, b inclusive."""
+def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame, tuple[DataFrame, ...]]:
+    """The unit table, (id, th, spans): ranges of later repeated units, as array<struct<a, b>>, b inclusive; and the tables these two read."""
 
     small_batches(df.sparkSession)
     units = written(unit_table(df, id_col, text_col), "units")
@@ -184,18 +200,22 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         out = StructType([kind, *_parse_datatype_string(fields).fields])
         return out, to_arrow_schema(out)
 
-    fp_schema, fp_arrow = schema_of("th long, fp long, pos int")
+    fp_schema, fp_arrow = schema_of("th long, fp long, content long, pos int, a int, b int")
     win_schema, win_arrow = schema_of("th long, fp long, content long, a int, b int")
 
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _parts(batches):
             hashes, ends = _flat(batch, "hashes").view(np.uint64), _ends(batch, "hashes")
-            _, _, at, _ = windows(hashes, _flat(batch, "words"), ends, min_words)
-            at = np.unique(at)
+            start, end, at, _ = windows(hashes, _flat(batch, "words"), ends, min_words)
+            at, start, end = reaches(start, end, at)
+            content = contents(hashes, start, end)
             doc = np.searchsorted(ends, at, side="right")
             begin = np.concatenate(([0], ends))[doc]
             rows = pa.array(doc)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(hashes[at].view(np.int64)), pa.array((at - begin).astype(np.int32))], schema=fp_arrow)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(rows), batch.column(1).take(rows), *(pa.array(x.view(np.int64)) for x in (hashes[at], content)), *(pa.array((x - begin).astype(np.int32)) for x in (at, start, end))],
+                schema=fp_arrow,
+            )
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _parts(batches):
@@ -211,20 +231,41 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 schema=win_arrow,
             )
 
+    last = F.col(id_col).isNull().alias("none")
+    place = F.struct(last, F.col(id_col).alias("id"), F.col("th").alias("th"), F.col("a").alias("a"), F.col("b").alias("b"))
+
+    def firsts(of: DataFrame, label: str) -> DataFrame:
+        # As a table, so that the join on it shuffles both sides by itself and Spark can split a frequent key.
+        return written(of.groupBy("fp", "content").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), label)
+
+    def repeated(of: DataFrame, label: str) -> DataFrame:
+        return written(of.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp"), label)
+
+    other = ~(F.col(id_col).eqNullSafe(F.col("first.id")) & (F.col("th") == F.col("first.th")))
+    later = other | (F.col("a") > F.col("first.b"))
+
+    # Whole reaches first: where one occurs before, so do all windows in it, and none of them is the first of its content.
     prints = written(units.select(id_col, "th", "hashes", "words").mapInArrow(select, fp_schema), "prints")
-    # As a table, so that the join shuffles both sides by itself and Spark can split a frequent fingerprint.
-    often = written(prints.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp"), "often")
-    found = prints.join(often, "fp", "left_semi").groupBy(id_col, "th").agg(F.collect_list("pos").alias("found"))
+    often = repeated(prints, "often")
+    shared = written(prints.join(often, "fp", "left_semi"), "shared")
+    discard(prints)
+    discard(often)
+    first = firsts(shared, "first-reaches")
+    marked = written(shared.join(first, ["fp", "content"], "left").select(*shared.columns, (F.col("first").isNotNull() & later).alias("later")), "reaches")
+    discard(shared)
+    discard(first)
+    # Then single windows, of those fingerprints that still occur more than once: mostly at the ends of what is shared.
+    rest = marked.where(~F.col("later"))
+    again = repeated(rest, "again")
+    found = rest.join(again, "fp", "left_semi").groupBy(id_col, "th").agg(F.collect_list("pos").alias("found"))
     same = units[id_col].eqNullSafe(F.col("__id")) & (units["th"] == F.col("__th"))
     near = units.join(found.select(F.col(id_col).alias("__id"), F.col("th").alias("__th"), "found"), same).select(id_col, "th", "hashes", "words", "found")
     wins = written(near.mapInArrow(extend, win_schema), "windows")
-    last = F.col(id_col).isNull().alias("none")
-    place = F.struct(last, F.col(id_col).alias("id"), F.col("th").alias("th"), F.col("a").alias("a"), F.col("b").alias("b"))
-    first = written(wins.groupBy("fp", "content").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "first")
-    other = ~(F.col(id_col).eqNullSafe(F.col("first.id")) & (F.col("th") == F.col("first.th")))
-    later = wins.join(first, ["fp", "content"]).where(other | (F.col("a") > F.col("first.b")))
-    spans = later.groupBy(id_col, "th").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("spans"))
-    return units, spans
+    discard(again)
+    first = firsts(wins, "first")
+    both = marked.where("later").select(id_col, "th", "a", "b").union(wins.join(first, ["fp", "content"]).where(later).select(id_col, "th", "a", "b"))
+    spans = both.groupBy(id_col, "th").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("spans"))
+    return units, spans, (units, marked, wins, first)
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -232,7 +273,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
 
     (array<struct<a, b>>, b exclusive, null where there are none). Columns of `df` with these names are replaced.
     """
-    units, spans = repeated_spans(df, id_col, text_col, min_words)
+    units, spans, read = repeated_spans(df, id_col, text_col, min_words)
     cut_schema = "cut array<struct<a:int,b:int>>, kept array<struct<a:int,n:int>>, n_deleted int"
     same = units[id_col].eqNullSafe(F.col("__id")) & (units["th"] == F.col("__th"))
     hit = units.join(spans.select(F.col(id_col).alias("__id"), F.col("th").alias("__th"), "spans"), same).select(id_col, "th", "lens", "spans")
@@ -261,6 +302,8 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
 
     table = hit.mapInPandas(cuts, out).select(F.col(id_col).alias("__id"), F.col("th").alias("__th"), "cut", F.col("kept").alias("__kept"), F.col("n_deleted").alias("__deleted"))
     table = written(table.dropDuplicates(["__id", "__th"]), "cuts")  # repeated rows share one
+    for done in read:
+        discard(done)
     docs = df.select(*(c for c in df.columns if c not in ("n_deleted", "cut")))
     # A merge join at every size: a broadcast while the table is small would change the plan as the input grows.
     joined = docs.join(table.hint("merge"), docs[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text_col]) == F.col("__th")), "left")
