@@ -46,11 +46,16 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 
 def discard(df: DataFrame) -> None:
-    """Deletes a table made by `written`; only for those that no later plan reads."""
+    """Deletes a table made by `written`; only for those that no later plan reads.
+
+    The shuffle files of the plans that made or read it are dead too; Spark deletes those when the driver's JVM has
+    collected the plans, so that is asked for here.
+    """
     spark = df.sparkSession
     for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    spark._jvm.System.gc()
 
 
 def steps_of(sizes: Iterable[int], limit: int = STEP_CHARS) -> Iterator[tuple[int, int]]:
