@@ -4,9 +4,9 @@ A text's units are its lines, each cut after the ends of its sentences and after
 is copied into a text seldom starts with its line or a sentence. Which spaces those are follows from the bytes before them
 alone, so two copies are cut alike wherever they stand. A window is the shortest run of units from some unit on, or up to
 some unit, that has at least `min_words` words; together the windows inside a longer run cover all of it. Winnowing
-selects from each window the unit with the smallest hash (the rightmost of equals): any run of units with `min_words`
-words that two texts share has a window of its own, and so the same selected unit in both: a guaranteed fingerprint. Positions
-are joined on the fingerprints; those that occur once are done with. From each position that is left the match is
+selects from each window the smallest hash of a run of units with `GRAM_WORDS` words (the rightmost of equals): any run of
+units with `min_words` words that two texts share has a window of its own, and so the same selected run of units in both: a
+guaranteed fingerprint. Positions are joined on the fingerprints; those that occur once are done with. From each position that is left the match is
 extended both ways, to its reach: all windows that select it. Where a whole reach occurs before (by id, then position),
 its units are deleted; the positions that remain, if their fingerprint still occurs more than once, are matched window by
 window: of windows of equal content the first stays, and the units of all later ones are deleted. What overlaps its own
@@ -18,7 +18,7 @@ shuffled, so a passage that a third of all documents share costs one row for eac
 
 Nulls and edges: a null text stays null; rows that share both id and text are treated alike, as one document; a null id
 comes last; empty texts have no units; words are runs without ASCII white space, and a text without any is one unit; an
-empty table gives an empty result. Equality is that of two 64-bit hashes, of the window and of its selected unit.
+empty table gives an empty result. Equality is that of two 64-bit hashes, of the window and of its fingerprint.
 """
 
 from __future__ import annotations
@@ -39,6 +39,10 @@ from .common import discard, small_batches, steps_of, written
 MIN_WORDS = 30
 #: One in this many spaces ends a unit, by the bytes before it (`TAIL` of them); sentences and lines always do.
 CUT_ONE_IN, TAIL = 4, 8
+#: Words of the runs of units whose hashes are winnowed: single units are often one common word, which tells nothing.
+GRAM_WORDS = 8
+#: Longer than any text.
+WHOLE = (1 << 31) - 1
 _BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -105,8 +109,19 @@ def reaches(start: np.ndarray, end: np.ndarray, selected: np.ndarray) -> tuple[n
     return at[first], np.minimum.reduceat(start[order], first), np.maximum.reduceat(end[order], first)
 
 
-def windows(hashes: np.ndarray, words: np.ndarray, doc_ends: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end inclusive, selected, content hash) of each window; documents lie end to end, `doc_ends` exclusive."""
+def grams(hashes: np.ndarray, words: np.ndarray, gram_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, end inclusive) of the shortest run of units from each unit on that has `gram_words` words; the end is n where none has."""
+    n = len(hashes)
+    total = np.concatenate(([0], np.cumsum(words)))
+    end = np.maximum(np.searchsorted(total, total[:-1] + gram_words, side="left") - 1, np.arange(n))
+    return contents(hashes, np.arange(n), np.minimum(end, n - 1)), end
+
+
+def windows(hashes: np.ndarray, words: np.ndarray, doc_ends: np.ndarray, min_words: int, runs: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end inclusive, selected, content hash) of each window; documents lie end to end, `doc_ends` exclusive.
+
+    Selected is the rightmost smallest unit, or the first unit of the smallest of `runs` (as from `grams`) within the window.
+    """
     n = len(hashes)
     empty = np.empty(0, np.int64)
     if not n:
@@ -121,8 +136,9 @@ def windows(hashes: np.ndarray, words: np.ndarray, doc_ends: np.ndarray, min_wor
     up_to = np.flatnonzero((before >= np.repeat(doc_ends - sizes, sizes)) & (words > 0))
     both = np.unique(np.concatenate((start * n + end, before[up_to] * n + up_to)))
     start, end = both // n, both % n
-    length = end - start + 1
     content = contents(hashes, start, end)
+    prints, until = (hashes, end) if runs is None else (runs[0], np.searchsorted(runs[1], end, side="right") - 1)
+    length = until - start + 1
     # Rightmost minimum of each window: two overlapping ranges whose length is a power of two.
     selected = np.zeros(len(start), np.int64)
     best = np.arange(n)
@@ -130,13 +146,13 @@ def windows(hashes: np.ndarray, words: np.ndarray, doc_ends: np.ndarray, min_wor
     log = np.frexp(length.astype(np.float64))[1] - 1
     while True:
         k = np.flatnonzero(log == level)
-        a, b = best[start[k]], best[end[k] - width + 1]
-        selected[k] = np.where(hashes[b] <= hashes[a], b, a)
+        a, b = best[start[k]], best[until[k] - width + 1]
+        selected[k] = np.where(prints[b] <= prints[a], b, a)
         if not (log > level).any():
             break
         m = len(best) - width
         a, b = best[:m], best[width : width + m]
-        best = np.where(hashes[b] <= hashes[a], b, a)
+        best = np.where(prints[b] <= prints[a], b, a)
         level, width = level + 1, 2 * width
     return start, end, selected, content
 
@@ -149,10 +165,19 @@ def _bytes_of(texts: pa.Array) -> tuple[bytes, np.ndarray]:
     return (data[at[0] : at[-1]].to_pybytes() if data is not None else b""), at[1:] - at[0]
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """The bytes of small numbers, the lowest of all first, then the next, and so on: the upper ones compress to nothing."""
+    return values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _unplaned(packed: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
 def unit_table(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, th, hashes, words, lens): for each text its units' hashes, words and characters."""
+    """(id, th, hashes, sizes): for each text its units' hashes, then their words and characters, packed (`unpacked` reads them)."""
 
-    out = StructType([df.schema[id_col], *_parse_datatype_string("th long, hashes array<long>, words array<int>, lens array<int>").fields])
+    out = StructType([df.schema[id_col], *_parse_datatype_string("th long, hashes binary, sizes binary").fields])
     arrow = to_arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,14 +188,31 @@ def unit_table(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 begin, words, chars, per_text = cut_units(np.frombuffer(raw, np.uint8), ends)
                 bounds = [*begin.tolist(), len(raw)]
                 hashes = np.fromiter((digest(raw[i:j].strip(), 42) for i, j in zip(bounds[:-1], bounds[1:], strict=True)), np.uint64, len(begin))
-                offsets = pa.array(np.concatenate(([0], np.cumsum(per_text))), pa.int32())
-                lists = [pa.ListArray.from_arrays(offsets, pa.array(c)) for c in (hashes.view(np.int64), words.astype(np.int32), chars.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), *(x.cast(arrow.field(k + 2).type) for k, x in enumerate(lists))], schema=arrow)
+                at = np.concatenate(([0], np.cumsum(per_text))).tolist()
+                texts = list(zip(at[:-1], at[1:], strict=True))
+                packed = [hashes[i:j].tobytes() for i, j in texts], [_planes(np.concatenate((words[i:j], chars[i:j]))) for i, j in texts]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), *(pa.array(c, arrow.field(k + 2).type) for k, c in enumerate(packed))], schema=arrow)
 
     texts = df.where(F.col(text_col).isNotNull()).select(id_col, F.xxhash64(text_col).alias("th"), text_col)
     return texts.mapInArrow(run, out)
 
 
+def unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray], np.ndarray]:
+    """(hashes, words, first and last (exclusive) character within the text, ends of the texts) of a batch of the unit table."""
+    hashes = np.frombuffer(b"".join(batch.column("hashes").to_pylist()), np.uint64)
+    words, sizes, after, counts = [], [], [], []
+    for packed in batch.column("sizes").to_pylist():
+        both = _unplaned(packed)
+        n = len(both) // 2
+        words.append(both[:n])
+        sizes.append(both[n:])
+        after.append(np.cumsum(both[n:]))
+        counts.append(n)
+    none = np.empty(0, np.int64)
+    y = np.concatenate([none, *after])
+    return hashes, np.concatenate([none, *words]), (y - np.concatenate([none, *sizes]), y), np.cumsum(counts, dtype=np.int64)
+
+
 #: Documents whose units one step of a worker holds.
 STEP_DOCS = 1000
 
@@ -181,16 +223,16 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(a, STEP_DOCS)
 
 
-def _flat(batch: pa.RecordBatch, name: str) -> np.ndarray:
-    return batch.column(name).flatten().to_numpy(zero_copy_only=False)
+def _hashed(small: DataFrame) -> DataFrame:
+    """The side of a join that has one row for each key: shuffled and hashed at every size, so that the other side, of
 
-
-def _ends(batch: pa.RecordBatch, name: str) -> np.ndarray:
-    return np.cumsum(batch.column(name).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+    texts or of many rows, is not sorted, and the plan does not change as the input grows.
+    """
+    return small.hint("shuffle_hash")
 
 
-def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame, tuple[DataFrame, ...]]:
-    """The unit table, (id, th, spans): ranges of later repeated units, as array<struct<a, b>>, b inclusive; and the tables these two read."""
+def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> tuple[DataFrame, tuple[DataFrame, ...]]:
+    """(id, th, spans): ranges of later repeated units, as array<struct<a, b, x, y>>: units (b inclusive), characters (y exclusive); and the tables it reads."""
 
     small_batches(df.sparkSession)
     units = written(unit_table(df, id_col, text_col), "units")
@@ -200,36 +242,36 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         out = StructType([kind, *_parse_datatype_string(fields).fields])
         return out, to_arrow_schema(out)
 
-    fp_schema, fp_arrow = schema_of("th long, fp long, content long, pos int, a int, b int")
-    win_schema, win_arrow = schema_of("th long, fp long, content long, a int, b int")
+    fp_schema, fp_arrow = schema_of("th long, fp long, content long, pos int, a int, b int, x int, y int")
+    win_schema, win_arrow = schema_of("th long, fp long, content long, a int, b int, x int, y int")
+    gram_words = min(GRAM_WORDS, min_words)
+
+    def windows_of(batch: pa.RecordBatch) -> tuple:
+        """(hashes, fingerprints, characters, ends of the texts, and the four of `windows`)"""
+        hashes, words, chars, ends = unpacked(batch)
+        runs = grams(hashes, words, gram_words)
+        return hashes, runs[0], chars, ends, *windows(hashes, words, ends, min_words, runs)
+
+    def rows_of(batch: pa.RecordBatch, ends: np.ndarray, at: np.ndarray, longs: list[np.ndarray], units: list[np.ndarray], chars: list[np.ndarray], schema: pa.Schema) -> pa.RecordBatch:
+        doc = np.searchsorted(ends, at, side="right")
+        begin, rows = np.concatenate(([0], ends))[doc], pa.array(doc)
+        numbers = [x.view(np.int64) for x in longs] + [(x - begin).astype(np.int32) for x in units] + [x.astype(np.int32) for x in chars]
+        return pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), *map(pa.array, numbers)], schema=schema)
 
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _parts(batches):
-            hashes, ends = _flat(batch, "hashes").view(np.uint64), _ends(batch, "hashes")
-            start, end, at, _ = windows(hashes, _flat(batch, "words"), ends, min_words)
+            hashes, prints, chars, ends, start, end, at, _ = windows_of(batch)
             at, start, end = reaches(start, end, at)
-            content = contents(hashes, start, end)
-            doc = np.searchsorted(ends, at, side="right")
-            begin = np.concatenate(([0], ends))[doc]
-            rows = pa.array(doc)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(rows), batch.column(1).take(rows), *(pa.array(x.view(np.int64)) for x in (hashes[at], content)), *(pa.array((x - begin).astype(np.int32)) for x in (at, start, end))],
-                schema=fp_arrow,
-            )
+            yield rows_of(batch, ends, at, [prints[at], contents(hashes, start, end)], [at, start, end], [chars[0][start], chars[1][end]], fp_arrow)
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _parts(batches):
-            hashes, ends = _flat(batch, "hashes").view(np.uint64), _ends(batch, "hashes")
-            start, end, at, content = windows(hashes, _flat(batch, "words"), ends, min_words)
-            begin = np.concatenate(([0], ends))
-            wanted = _flat(batch, "found") + np.repeat(begin[:-1], batch.column("found").value_lengths().to_numpy(zero_copy_only=False))
+            _, prints, chars, ends, start, end, at, content = windows_of(batch)
+            found = batch.column("found")
+            begin = np.concatenate(([0], ends))[:-1]
+            wanted = found.flatten().to_numpy(zero_copy_only=False) + np.repeat(begin, found.value_lengths().to_numpy(zero_copy_only=False))
             k = np.flatnonzero(np.isin(at, wanted))
-            doc = np.searchsorted(ends, at[k], side="right")
-            rows = pa.array(doc)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(hashes[at[k]].view(np.int64)), pa.array(content[k].view(np.int64)), pa.array((start[k] - begin[doc]).astype(np.int32)), pa.array((end[k] - begin[doc]).astype(np.int32))],
-                schema=win_arrow,
-            )
+            yield rows_of(batch, ends, at[k], [prints[at[k]], content[k]], [start[k], end[k]], [chars[0][start[k]], chars[1][end[k]]], win_arrow)
 
     last = F.col(id_col).isNull().alias("none")
     place = F.struct(last, F.col(id_col).alias("id"), F.col("th").alias("th"), F.col("a").alias("a"), F.col("b").alias("b"))
@@ -245,27 +287,28 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     later = other | (F.col("a") > F.col("first.b"))
 
     # Whole reaches first: where one occurs before, so do all windows in it, and none of them is the first of its content.
-    prints = written(units.select(id_col, "th", "hashes", "words").mapInArrow(select, fp_schema), "prints")
+    prints = written(units.select(id_col, "th", "hashes", "sizes").mapInArrow(select, fp_schema), "prints")
     often = repeated(prints, "often")
-    shared = written(prints.join(often, "fp", "left_semi"), "shared")
+    shared = written(prints.join(_hashed(often), "fp", "left_semi"), "shared")
     discard(prints)
     discard(often)
     first = firsts(shared, "first-reaches")
-    marked = written(shared.join(first, ["fp", "content"], "left").select(*shared.columns, (F.col("first").isNotNull() & later).alias("later")), "reaches")
+    marked = written(shared.join(_hashed(first), ["fp", "content"], "left").select(*shared.columns, (F.col("first").isNotNull() & later).alias("later")), "reaches")
     discard(shared)
     discard(first)
     # Then single windows, of those fingerprints that still occur more than once: mostly at the ends of what is shared.
     rest = marked.where(~F.col("later"))
     again = repeated(rest, "again")
-    found = rest.join(again, "fp", "left_semi").groupBy(id_col, "th").agg(F.collect_list("pos").alias("found"))
+    found = rest.join(_hashed(again), "fp", "left_semi").groupBy(id_col, "th").agg(F.collect_list("pos").alias("found"))
     same = units[id_col].eqNullSafe(F.col("__id")) & (units["th"] == F.col("__th"))
-    near = units.join(found.select(F.col(id_col).alias("__id"), F.col("th").alias("__th"), "found"), same).select(id_col, "th", "hashes", "words", "found")
+    near = units.join(_hashed(found.select(F.col(id_col).alias("__id"), F.col("th").alias("__th"), "found")), same).select(id_col, "th", "hashes", "sizes", "found")
     wins = written(near.mapInArrow(extend, win_schema), "windows")
     discard(again)
     first = firsts(wins, "first")
-    both = marked.where("later").select(id_col, "th", "a", "b").union(wins.join(first, ["fp", "content"]).where(later).select(id_col, "th", "a", "b"))
-    spans = both.groupBy(id_col, "th").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("spans"))
-    return units, spans, (units, marked, wins, first)
+    span = [id_col, "th", "a", "b", "x", "y"]
+    both = marked.where("later").select(span).union(wins.join(_hashed(first), ["fp", "content"]).where(later).select(span))
+    spans = both.groupBy(id_col, "th").agg(F.collect_set(F.struct("a", "b", "x", "y")).alias("spans"))
+    return spans, (units, marked, wins, first)
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -273,11 +316,8 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
 
     (array<struct<a, b>>, b exclusive, null where there are none). Columns of `df` with these names are replaced.
     """
-    units, spans, read = repeated_spans(df, id_col, text_col, min_words)
+    spans, read = repeated_spans(df, id_col, text_col, min_words)
     cut_schema = "cut array<struct<a:int,b:int>>, kept array<struct<a:int,n:int>>, n_deleted int"
-    same = units[id_col].eqNullSafe(F.col("__id")) & (units["th"] == F.col("__th"))
-    hit = units.join(spans.select(F.col(id_col).alias("__id"), F.col("th").alias("__th"), "spans"), same).select(id_col, "th", "lens", "spans")
-
     out = StructType([df.schema[id_col], *_parse_datatype_string("th long, " + cut_schema).fields])
 
     def cuts(batches):
@@ -285,28 +325,25 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
 
         for pdf in batches:
             made = []
-            for lens, ranges in zip(pdf["lens"], pdf["spans"], strict=True):
-                gone = np.zeros(len(lens) + 1, np.int32)
-                a, b = (np.array([r[k] for r in ranges]) for k in ("a", "b"))
-                np.add.at(gone, a, 1)
-                np.add.at(gone, b + 1, -1)
-                gone = np.cumsum(gone)[:-1] > 0
-                at = np.concatenate(([0], np.cumsum(lens)))
-                turn = np.flatnonzero(np.diff(np.r_[False, gone, False].astype(np.int8)))
-                cut = [(int(at[x]), int(at[y])) for x, y in zip(turn[::2], turn[1::2], strict=True)]
-                edges = [0, *(v for c in cut for v in c), int(at[-1])]
-                kept = [(x, y - x) for x, y in zip(edges[::2], edges[1::2], strict=True) if y > x]
-                made.append(([{"a": x, "b": y} for x, y in cut], [{"a": x, "n": y} for x, y in kept], int(gone.sum())))
+            for ranges in pdf["spans"]:
+                a, b, x, y = (np.array([r[k] for r in ranges]) for k in ("a", "b", "x", "y"))
+                order = np.argsort(a, kind="stable")
+                a, b, x, y = a[order], np.maximum.accumulate(b[order]), x[order], np.maximum.accumulate(y[order])
+                turn = np.flatnonzero(a[1:] > b[:-1] + 1)  # a run ends here, the next starts after it
+                head, tail = np.r_[0, turn + 1], np.r_[turn, len(a) - 1]
+                cut = list(zip(x[head].tolist(), y[tail].tolist(), strict=True))
+                edges = [0, *(v for c in cut for v in c), WHOLE]
+                kept = [(p, q - p) for p, q in zip(edges[::2], edges[1::2], strict=True) if q > p]
+                made.append(([{"a": p, "b": q} for p, q in cut], [{"a": p, "n": n} for p, n in kept], int((b[tail] - a[head] + 1).sum())))
             cols = list(zip(*made, strict=True)) if made else [[]] * 3
             yield pd.DataFrame({id_col: pdf[id_col], "th": pdf["th"], "cut": cols[0], "kept": cols[1], "n_deleted": cols[2]})
 
-    table = hit.mapInPandas(cuts, out).select(F.col(id_col).alias("__id"), F.col("th").alias("__th"), "cut", F.col("kept").alias("__kept"), F.col("n_deleted").alias("__deleted"))
-    table = written(table.dropDuplicates(["__id", "__th"]), "cuts")  # repeated rows share one
+    table = spans.mapInPandas(cuts, out).select(F.col(id_col).alias("__id"), F.col("th").alias("__th"), "cut", F.col("kept").alias("__kept"), F.col("n_deleted").alias("__deleted"))
+    table = written(table, "cuts")  # one row for each id and text: repeated rows share it
     for done in read:
         discard(done)
     docs = df.select(*(c for c in df.columns if c not in ("n_deleted", "cut")))
-    # A merge join at every size: a broadcast while the table is small would change the plan as the input grows.
-    joined = docs.join(table.hint("merge"), docs[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text_col]) == F.col("__th")), "left")
+    joined = docs.join(_hashed(table), docs[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text_col]) == F.col("__th")), "left")
     text = F.when(F.col("__kept").isNull(), F.col(text_col)).otherwise(F.concat_ws("", F.transform("__kept", lambda k: F.substring(F.col(text_col), k["a"] + 1, k["n"]))))
     rest = [text.alias(text_col) if c == text_col else F.col(c) for c in docs.columns]
     return joined.select(*rest, F.coalesce("__deleted", F.lit(0)).alias("n_deleted"), F.col("cut"))
