@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import linededup, packing, quality, simhash
+from millrace.llm import linededup, neardup, packing, quality
 from millrace.llm.common import read_texts, written
 from millrace.llm.queries import fit_quality, identify_documents, tokenizer_file, tokenizer_pattern
 
@@ -40,9 +40,9 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id."""
+    """Of each group of near-duplicates, linked by a similarity of 0.8 of their runs of five words, the smallest id."""
     own = _aliased(docs)
-    return simhash.representatives(own).select(own.columns).toDF(*docs.columns)
+    return neardup.representatives(own).select(own.columns).toDF(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -229,15 +229,22 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("b").alias("node"), F.col("a").alias("root")).union(now.select("a", "a").distinct())
 
 
+def named(prints: DataFrame, edges: DataFrame, id_col: str, nodes: DataFrame | None = None) -> DataFrame:
+    """(id, fp, component_id) for rows (id, fp) and links (a, b) between values of fp."""
+    if nodes is None:
+        nodes = written(prints.groupBy("fp").agg(F.min(id_col).alias("least")), "nodes")
+    roots = components(edges)
+    known = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    names = known.groupBy("root").agg(F.min("least").alias("component_id"))
+    labels = known.join(names, "root").select("fp", "component_id")
+    return prints.join(labels, "fp").select(id_col, "fp", "component_id")
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, distance: int = 4) -> DataFrame:
     """(id, fp, component_id): for each row its fingerprint and the smallest id that it reaches through links."""
     prints = written(fingerprints(df, id_col, text_col, words), "fingerprints")
     nodes = written(prints.groupBy("fp").agg(F.min(id_col).alias("least")), "nodes")
-    roots = components(links(nodes, distance))
-    named = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    names = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = named.join(names, "root").select("fp", "component_id")
-    return prints.join(labels, "fp").select(id_col, "fp", "component_id")
+    return named(prints, links(nodes, distance), id_col, nodes)
 
 
 def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, distance: int = 4) -> DataFrame:
@@ -245,7 +252,11 @@ def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Rows with a null id are in no group that has a name: of those only groups without any id keep one row.
     """
-    found = near_duplicates(df, id_col, text_col, words, distance)
-    stay = written(found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("__stay")).count(), "stay")
-    out = df.join(stay.hint("merge"), df[id_col].eqNullSafe(F.col("__stay")), "left_semi")
-    return out if stay.where("count > 1").isEmpty() else out.dropDuplicates([id_col])
+    return stay(df, near_duplicates(df, id_col, text_col, words, distance), id_col)
+
+
+def stay(df: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
+    """The rows of `df` whose id names their group in `found`."""
+    ids = written(found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("__stay")).count(), "stay")
+    out = df.join(ids.hint("merge"), df[id_col].eqNullSafe(F.col("__stay")), "left_semi")
+    return out if ids.where("count > 1").isEmpty() else out.dropDuplicates([id_col])
