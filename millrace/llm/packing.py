@@ -30,21 +30,28 @@ from .common import small_batches, steps
 
 WINDOW = 2048
 END_ID = 1
+#: The tokenizer's added tokens: their literals are one id wherever they stand, before any other rule.
+ADDED = {"<|endoftext|>": 50256}
 #: A window that is left open with at most this share of padding stays as it is.
 SLACK = 1 / 256
 _ENCODERS: dict = {}
 
 
 def encoder(ranks_file: bytes, pattern: str):
-    """A function text -> uint32 ids for a byte-level rank file; one encoder for each worker and file."""
+    """A function text -> uint32 ids for a byte-level rank file and `ADDED`; one encoder for each worker and file."""
     key = (zlib.crc32(ranks_file), pattern)
     if key not in _ENCODERS:
         import tiktoken
 
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks_file.splitlines())}
-        _ENCODERS[key] = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    encode = _ENCODERS[key].encode_ordinary
-    return lambda text: np.array(encode(text), np.uint32)
+        _ENCODERS[key] = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=ADDED)
+    whole, plain = _ENCODERS[key].encode, _ENCODERS[key].encode_ordinary
+
+    def encode(text: str) -> np.ndarray:
+        some = any(t in text for t in ADDED)
+        return np.array(whole(text, allowed_special="all", disallowed_special=()) if some else plain(text), np.uint32)
+
+    return encode
 
 
 class Packer:

@@ -219,3 +219,19 @@ def test_quality_figures_and_trigrams_of_empty_texts():
     assert m("") == m(None) == (0, 0, 0)
     assert np.isfinite(quality.figures(np.array([m(""), m("a"), m("good words here")]))).all()
     assert len(langid.trigrams(None)) == 0 and langid.letter_share("") == 0 and langid.letter_share("ab 12") == 0.5
+
+
+DEFAULT = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(texts | st.sampled_from(["<|endoftext|>", " <|endoftext|> ", "<|endoftext|", "|endoftext|>"]), max_size=6))
+def test_rank_file_gives_the_tokenizers_default_ids(parts):
+    default = DEFAULT
+    assert ENCODE("".join(parts)).tolist() == default.encode("".join(parts), add_special_tokens=False).ids
+
+
+def test_rank_file_knows_the_added_tokens():
+    default = DEFAULT
+    assert {t.content: i for i, t in default.get_added_tokens_decoder().items()} == packing.ADDED
+    assert ENCODE("a<|endoftext|>b").tolist() == [64, 50256, 65]
