@@ -8,7 +8,8 @@ compresses at all and how long it is, as the difference means little for short o
 
 Fitting uses a bounded sample: of each label the `sample` documents with the smallest hash of their id for the
 dictionaries (a slice of `SLICE` characters of each) and as many others, whole, for the curve; of those only the
-figures reach the driver. Everything else runs on all rows.
+figures reach the driver. Everything else runs on all rows. Both dictionaries are trained on all slices of their label;
+where the trainer refuses either (very few labels, or all alike), both are equal starts of all slices instead.
 
 Nulls and edges: a null text counts as empty; an empty text has difference 0 and gets the curve's value there; labels
 that are null are left out, and of a document labelled twice the mean counts; without both labels among the training
@@ -88,13 +89,21 @@ def scores(model: Model, sizes: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(figures(sizes) @ np.array(model.weights), -30, 30)))
 
 
-def _dictionary(samples: list[bytes]) -> bytes:
-    if sum(map(len, samples)) > 8 * DICTIONARY and len(samples) >= 50:
-        try:
-            return zstandard.train_dictionary(DICTIONARY, samples, level=LEVEL).as_bytes()
-        except zstandard.ZstdError:
-            pass  # samples too alike for the trainer: their raw content serves as well
-    return b"".join(samples)[-DICTIONARY:]
+def _dictionaries(kinds: list[list[bytes]]) -> list[bytes]:
+    """A dictionary of each list of samples: trained on all of them, or raw for every list if one can't be trained."""
+    try:
+        return [zstandard.train_dictionary(DICTIONARY, samples, level=LEVEL).as_bytes() for samples in kinds]
+    except (zstandard.ZstdError, ValueError):  # samples too few or too alike for the trainer
+        return [_raw(samples) for samples in kinds]
+
+
+def _raw(samples: list[bytes]) -> bytes:
+    """The starts of all samples, as long as they can be for `DICTIONARY` bytes in all; short ones leave room to others."""
+    room, cut = DICTIONARY, {}
+    for left, k in zip(range(len(samples), 0, -1), sorted(range(len(samples)), key=lambda k: len(samples[k])), strict=True):
+        cut[k] = samples[k][: room // left]
+        room -= len(cut[k])
+    return b"".join(cut[k] for k in range(len(samples)))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", train: Column | None = None, sample: int = SAMPLE) -> Model:
@@ -120,7 +129,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
     by: dict[int, list] = {0: [], 1: []}
     for r in slices.collect():
         by[r["__y"]].append((r[0], r["t"].encode()))
-    good, bad = (_dictionary([t for _, t in sorted(by[y]) if t]) for y in (1, 0))
+    good, bad = _dictionaries([[t for _, t in sorted(by[y]) if t] for y in (1, 0)])
     if min(len(good), len(bad)) < 16:
         return Model(b"", b"", (), share)
     measured = measure(texts.where("__use = 'curve'"), [id_col, "__y"], "__text", good, bad)
