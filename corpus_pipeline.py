@@ -52,7 +52,8 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 STAGES = [("quality", quality_stage), ("language", language_stage), ("line_dedup", line_stage), ("near_dedup", near_stage), ("packing", packing_stage)]
 
-#: SQL can't express a compression classifier, nor the stages after it; tests hold them against brute force.
+#: SQL can't express a compression classifier, nor the stages after it; tests hold all but the language stage's
+#: decisions against plain Python.
 ORACLE_SQL = None
 
 
