@@ -5,8 +5,10 @@ goes to the fill level that makes the sum of squared counts of partially filled
 level array: entry h holds how many open windows are filled to h. Each partition packs by itself, so there is no
 shuffle and no state that grows with the table; sequence ids carry the partition's number in their upper bits.
 
-When a partition ends, its open windows are emptied into as few as possible (documents may be cut freely) and the last
-one is split into powers of two, lengths that need no padding. So only windows that were left nearly full are padded.
+When a partition ends, its fullest open windows stay as they are, padded, as long as all their padding is at most a share
+`padding` of the partition's ids. Of the others as many as their ids can fill stay too, and the emptiest are dissolved:
+their ids fill the gaps of those that stay (documents may be cut freely), and what is left over goes to windows of powers
+of two, lengths that need no padding. Whatever the rule has placed in a window that stays keeps its place.
 
 Nulls and edges: a null or empty text is one token, the end id; a null doc_id is kept; repeated rows are packed each;
 texts of any length are cut into as many windows as they need; an empty table gives an empty result.
@@ -32,8 +34,8 @@ WINDOW = 2048
 END_ID = 1
 #: The tokenizer's added tokens: their literals are one id wherever they stand, before any other rule.
 ADDED = {"<|endoftext|>": 50256}
-#: A window that is left open with at most this share of padding stays as it is.
-SLACK = 1 / 256
+#: The padding that open windows may keep when a partition ends, as a share of the partition's ids.
+PADDING = 1 / 200
 _ENCODERS: dict = {}
 
 
@@ -61,10 +63,11 @@ class Packer:
         self.size = size
         self.levels = np.zeros(size + 1, np.int64)  # open windows by fill; entries 0 and `size` stay 0
         self.open: list[list[int]] = [[] for _ in range(size + 1)]
-        self.next = 0
+        self.next = self.placed = 0  # windows opened, ids placed
 
     def put(self, n: int) -> tuple[int, int]:
         """Window and offset for a piece of n ids, 1 <= n <= size; ties go to the fullest level."""
+        self.placed += n
         if n < self.size:
             # Moving a window from h to h + n changes the sum of squares by 2 (N[h + n] - N[h]) + 2; filling it up
             # changes it by 1 - 2 N[h]; a new window by 2 N[n] + 1.
@@ -92,7 +95,7 @@ class Packer:
         return {w: fill for fill, ws in enumerate(self.open) for w in ws}
 
 
-def pack(df: DataFrame, ranks_file: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text", size: int = WINDOW, end_id: int = END_ID, slack: float = SLACK, with_ids: bool = False) -> DataFrame:
+def pack(df: DataFrame, ranks_file: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text", size: int = WINDOW, end_id: int = END_ID, padding: float = PADDING, with_ids: bool = False) -> DataFrame:
     """One row for each piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and with `with_ids` the ids."""
     spark = df.sparkSession
     small_batches(spark)
@@ -138,26 +141,41 @@ def pack(df: DataFrame, ranks_file: bytes, pattern: str, id_col: str = "doc_id",
                         if offset + len(piece) == size:
                             done += held.pop(window)
                 yield made(done)
-        fills = packer.left_open()
-        yield made([row for w, fill in fills.items() if size - fill <= slack * size for row in held[w]])
-        loose = [row for w in sorted(fills, key=fills.get, reverse=True) if size - fills[w] > slack * size for row in held[w]]
-        yield made(_refill(loose, packer.next, size))
+        stay, fill = closing(packer.left_open(), packer.placed * padding, size)
+        yield made([row for w in stay for row in held[w]])
+        yield made(refill([row for w in sorted(fill[1]) for row in held[w]], fill[0], packer.next, size))
 
     return df.select(F.col(id_col), F.col(text_col)).mapInArrow(run, out)
 
 
-def _refill(loose: list[tuple], window: int, size: int) -> list[tuple]:
-    """Lays pieces end to end in new windows: full ones, then lengths that are powers of two."""
-    left = sum(row[2] for row in loose)
-    rows, room, offset = [], 0, 0
+def closing(fills: dict[int, int], padding: float, size: int) -> tuple[list[int], tuple[list[tuple[int, int]], list[int]]]:
+    """Of open windows, by number: those that stay; of these, those to be filled up (number, fill); and those to dissolve."""
+    order = sorted(fills, key=lambda w: (-fills[w], w))
+    padded = 0
+    while padded < len(order) and size - fills[order[padded]] <= padding:
+        padding -= size - fills[order[padded]]
+        padded += 1
+    filled = padded + sum(fills[w] for w in order[padded:]) // size
+    # Large gaps first: the last pieces are then the small ones.
+    return order[:filled], ([(w, fills[w]) for w in reversed(order[padded:filled])], order[filled:])
+
+
+def refill(loose: list[tuple], gaps: list[tuple[int, int]], window: int, size: int) -> list[tuple]:
+    """Lays pieces end to end in the gaps of windows (number, fill), then in new windows whose lengths are powers of two."""
+    left = sum(row[2] for row in loose) - sum(size - fill for _, fill in gaps)
+    places = [(w, fill, size - fill) for w, fill in gaps]
+    for bit in reversed(range(max(left, 0).bit_length())):
+        if left >> bit & 1:
+            places.append((window, 0, 1 << bit))
+            window += 1
+    rows, k, used = [], 0, 0
     for key, start, length, total, _, _, _, ids in loose:
         at = 0
         while at < length:
-            if not room:
-                room = size if left >= size else 1 << (left.bit_length() - 1)
-                left -= room
-                offset, window = 0, window + 1
-            n = min(room, length - at)
-            rows.append((key, start + at, n, total, window - 1, offset, None, ids[at : at + n]))
-            at, room, offset = at + n, room - n, offset + n
+            w, fill, room = places[k]
+            n = min(room - used, length - at)
+            rows.append((key, start + at, n, total, w, fill + used, None, ids[at : at + n]))
+            at, used = at + n, used + n
+            if used == room:
+                k, used = k + 1, 0
     return rows
