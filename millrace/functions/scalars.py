@@ -29,6 +29,36 @@ def fn_edit_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.levenshtein("p_brand", "p_type").cast("long").alias("distance"))
 
 
+@query("select * from (values ('Robert', 'R163'), ('Rupert', 'R163'), ('Tymczak', 'T522'), ('Pfister', 'P236'), ('Honeyman', 'H555')) t(name, code)")
+def fn_soundex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = spark.createDataFrame([(n,) for n in ("Robert", "Rupert", "Tymczak", "Pfister", "Honeyman")], "name string")
+    return names.select("name", F.soundex("name").alias("code"))
+
+
+@query("select n_nationkey, md5(n_name) as md, sha1(n_name) as s1, sha256(n_name) as s2 from nation")
+def fn_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "nation").select("n_nationkey", F.md5("n_name").alias("md"), F.sha1("n_name").alias("s1"), F.sha2("n_name", 256).alias("s2"))
+
+
+@query("select o_orderkey, strftime(o_orderdate + interval 1 month + interval 10 day + interval 2 hour, '%Y-%m-%d %H:%M:%S') as due from orders")
+def fn_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    later = F.col("o_orderdate") + F.make_interval(F.lit(0), F.lit(1), F.lit(0), F.lit(10), F.lit(2))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.date_format(later, "yyyy-MM-dd HH:mm:ss").alias("due"))
+
+
+@query("select doc_id, cast(len(list_filter(regexp_split_to_array(text, '[ \\n]+'), lambda w: w <> '')) as bigint) as words, cast(length(text) as bigint) as chars from documents")
+def fn_text_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = F.filter(F.split("text", "[ \\n]+"), lambda w: w != "")
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(words).cast("long").alias("words"), F.length("text").cast("long").alias("chars"))
+
+
+@query("select vec_id, round(list_sum(list_transform(embedding, lambda x: cast(x as double) * cast(x as double))), 6) as squared, round(cast(list_max(embedding) as double), 6) as most from embeddings")
+def fn_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.transform("embedding", lambda x: x.cast("double"))
+    squared = F.aggregate(F.zip_with(v, v, lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(squared, 6).alias("squared"), F.round(F.array_max(v), 6).alias("most"))
+
+
 @query("""select o_orderkey, cast(year(o_orderdate) as bigint) as y, cast(month(o_orderdate) as bigint) as m, cast(dayofweek(o_orderdate) + 1 as bigint) as dow, cast(quarter(o_orderdate) as bigint) as q,
 cast(date_diff('day', timestamp '1992-01-01', o_orderdate) as bigint) as days, strftime(date_trunc('month', o_orderdate), '%Y-%m-%d') as month_start, strftime(last_day(o_orderdate), '%Y-%m-%d') as month_end from orders""")
 def fn_dates(spark: SparkSession, sf_dir: str) -> DataFrame:

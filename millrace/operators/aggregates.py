@@ -87,7 +87,17 @@ def agg_max_by(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select n_regionkey, string_agg(n_name, ',' order by n_name) as names from nation group by n_regionkey")
 def agg_listagg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.array_join(F.array_sort(F.collect_list("n_name")), ",").alias("names"))
+    register(spark, sf_dir, ("nation",))
+    return spark.sql("select n_regionkey, listagg(n_name, ',') within group (order by n_name) as names from nation group by n_regionkey")
+
+
+@query("""with c as (select user_id, event_type, count(*) as n from events group by all),
+m as (select user_id, event_type, row_number() over (partition by user_id order by n desc, event_type) as place from c)
+select user_id, max(case when place = 1 then event_type end) as most, string_agg(event_type, ',' order by event_type) as kinds from m group by user_id""")
+def agg_mode_and_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most frequent type of each user (the smallest of equally frequent ones), and all of their types."""
+    kinds = F.array_join(F.array_sort(F.collect_set("event_type")), ",")
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.mode("event_type", True).alias("most"), kinds.alias("kinds"))
 
 
 @query("select s_nationkey, count(*) filter (where s_acctbal > 0) as positive, round(sum(s_acctbal) filter (where s_acctbal < 0), 2) as debt from supplier group by s_nationkey")
@@ -96,15 +106,38 @@ def agg_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql("select s_nationkey, count(*) filter (where s_acctbal > 0) as positive, round(sum(s_acctbal) filter (where s_acctbal < 0), 2) as debt from supplier group by s_nationkey")
 
 
-@query("select event_type, abs(n) < 0.05 as distinct_close, abs(p) < 0.05 as median_close from (select distinct event_type, 0.0 as n, 0.0 as p from events)")
+@query("select event_type, quantile_disc(value, 0.5) as middle, count(distinct hour(ts)) as hours, count(distinct hour(ts)) as hours_theta from events group by event_type")
 def agg_approximate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sketches against exact figures: relative errors stay under 5 % with these parameters."""
-    exact = table(spark, sf_dir, "events").groupBy("event_type").agg(
-        F.count_distinct("event_id").alias("e"), F.approx_count_distinct("event_id", 0.01).alias("a"), F.hll_sketch_estimate(F.hll_sketch_agg("event_id")).alias("h"),
-        F.percentile("value", 0.5).alias("m"), F.percentile_approx("value", 0.5, 10000).alias("q"),
+    """Approximate aggregates where they are exact: a percentile with more accuracy than rows, sketches of few values.
+
+    Their errors on many values are held against the exact figures in the tests.
+    """
+    hour = F.hour("ts")
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(
+        F.percentile_approx("value", 0.5, 10_000_000).alias("middle"), F.hll_sketch_estimate(F.hll_sketch_agg(hour)).alias("hours"), F.theta_sketch_estimate(F.theta_sketch_agg(hour)).alias("hours_theta"),
     )
-    close = lambda x, y: F.abs(F.col(x) / F.col(y) - 1) < 0.05
-    return exact.select("event_type", (close("a", "e") & close("h", "e")).alias("distinct_close"), close("q", "m").alias("median_close"))
+
+
+@query("select event_type, count(distinct user_id) as users from events group by event_type")
+def agg_bitmap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact distinct counts by bitmaps, one for each bucket of ids: they merge by OR, however the rows are spread."""
+    parts = table(spark, sf_dir, "events").groupBy("event_type", F.bitmap_bucket_number("user_id").alias("bucket")).agg(F.bitmap_count(F.bitmap_construct_agg(F.bitmap_bit_position("user_id"))).alias("n"))
+    return parts.groupBy("event_type").agg(F.sum("n").alias("users"))
+
+
+@query("select event_type as item, count(*) as n from events group by event_type")
+def agg_top_k_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """approx_top_k, exact here as the sketch has room for every type."""
+    register(spark, sf_dir, ("events",))
+    return spark.sql("select t.item, t.count as n from (select explode(approx_top_k(event_type, 5, 100)) as t from events)")
+
+
+@query("select event_type, count(*) as n, true as within from events group by event_type")
+def agg_histogram_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten bins of their own width: together they hold every row, and their centres lie within the values' range."""
+    bins = table(spark, sf_dir, "events").groupBy("event_type").agg(F.histogram_numeric("value", F.lit(10)).alias("h"), F.min("value").alias("low"), F.max("value").alias("high"))
+    held = F.aggregate("h", F.lit(0.0), lambda a, b: a + b["y"]).cast("long")
+    return bins.select("event_type", held.alias("n"), F.forall("h", lambda b: (b["x"] >= F.col("low")) & (b["x"] <= F.col("high"))).alias("within"))
 
 
 @query("select cast(floor(o_totalprice / 50000) as bigint) as bucket, count(*) as n from orders group by bucket")

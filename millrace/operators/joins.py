@@ -5,6 +5,8 @@ Sides are not marked for broadcast by hand; Catalyst and AQE broadcast a side wh
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,20 +14,31 @@ from millrace.catalog import query
 from millrace.session import register, table, tables
 
 
-def asof_join(left: DataFrame, right: DataFrame, by: str, at: str, values: list[str]) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, by: str, at: str, values: list[str], bucket: Callable[[Column], Column] | None = None) -> DataFrame:
     """Each left row with `values` of the last right row of the same `by` at or before it; nulls if there is none.
 
-    One shuffle and sort: both sides are laid in one stream, and the last right row is carried on. Ties among right rows
-    are broken by their values, largest last. Rows with a null key match nothing.
+    Both sides are laid in one stream, and the last right row is carried on: one shuffle and sort. `bucket` cuts the stream
+    of a key into stretches of time (any function of `at` that never falls as `at` rises), so that a hot key is many
+    tasks; what a stretch starts with comes from a table with one row for each key and stretch. Ties among right rows
+    are broken by their values, largest last. Rows with a null key match nothing and stay out of the shuffle.
     """
-    named = F.struct(*values)
+    named, rows = F.struct(F.col(at).alias("at"), *values), F.struct(*left.columns)
+    known = lambda df: df.where(F.col(by).isNotNull())
     empty = F.lit(None).cast(right.select(named.alias("v")).schema["v"].dataType)
-    rows = F.struct(*left.columns)
-    ours = left.select(by, at, F.lit(1).alias("__side"), rows.alias("__row"), empty.alias("__value"))
-    theirs = right.select(by, at, F.lit(0).alias("__side"), F.lit(None).cast(left.select(rows.alias("r")).schema["r"].dataType).alias("__row"), named.alias("__value"))
-    order = Window.partitionBy(by).orderBy(at, "__side", "__value").rowsBetween(Window.unboundedPreceding, 0)
-    carried = ours.unionByName(theirs).withColumn("__last", F.when(F.col(by).isNotNull(), F.last("__value", ignorenulls=True).over(order)))
-    return carried.where("__side = 1").select("__row.*", *(F.col(f"__last.{v}").alias(f"asof_{v}") for v in values))
+    no_row = F.lit(None).cast(left.select(rows.alias("r")).schema["r"].dataType)
+    part = bucket(F.col(at)) if bucket else F.lit(0)
+    ours = known(left).select(by, part.alias("__part"), F.lit(2).alias("__side"), F.col(at).alias("__at"), rows.alias("__row"), empty.alias("__value"))
+    theirs = known(right).where(F.col(at).isNotNull()).select(by, part.alias("__part"), F.lit(1).alias("__side"), F.col(at).alias("__at"), no_row.alias("__row"), named.alias("__value"))
+    stream = ours.unionByName(theirs)
+    if bucket:
+        ends = stream.groupBy(by, "__part").agg(F.max("__value").alias("__value"))
+        before = Window.partitionBy(by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+        carried = ends.select(by, "__part", F.lit(0).alias("__side"), F.lit(None).cast(left.schema[at].dataType).alias("__at"), no_row.alias("__row"), F.last("__value", ignorenulls=True).over(before).alias("__value"))
+        stream = stream.unionByName(carried)
+    order = Window.partitionBy(by, "__part").orderBy(F.asc_nulls_first("__at"), "__side", "__value").rowsBetween(Window.unboundedPreceding, 0)
+    seen = stream.withColumn("__last", F.last("__value", ignorenulls=True).over(order)).where("__side = 2")
+    unmatched = left.where(F.col(by).isNull()).select(rows.alias("__row"), empty.alias("__last"))
+    return seen.select("__row", "__last").union(unmatched).select("__row.*", *(F.col(f"__last.{v}").alias(f"asof_{v}") for v in values))
 
 
 def range_join(left: DataFrame, right: DataFrame, point: Column, low: Column, high: Column, width: float) -> DataFrame:
@@ -97,10 +110,26 @@ def join_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.join(lineitem, F.col("l_orderkey") == F.col("o_orderkey"), "left_anti").select("o_orderkey")
 
 
-@query("select p_partkey from part where p_partkey not in (select nullif(l_partkey, -1) from lineitem where l_quantity > 30)")
+_NOT_IN = """select 'none' as nulls, p_partkey from part where p_partkey not in (select l_partkey from lineitem where l_quantity > 30)
+union all select 'some' as nulls, p_partkey from part where p_partkey not in (select case when l_linenumber > 1 then l_partkey end from lineitem where l_quantity > 30)
+union all select 'left' as nulls, k as p_partkey from (select nullif(p_partkey, 1) as k from part) where k not in (select l_partkey from lineitem where l_quantity > 30)"""
+
+
+@query(_NOT_IN)
 def join_null_aware_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """NOT IN: a null among the values leaves no row, a null on the left is no row either."""
     register(spark, sf_dir, ("part", "lineitem"))
-    return spark.sql("select p_partkey from part where p_partkey not in (select nullif(l_partkey, -1) from lineitem where l_quantity > 30)")
+    return spark.sql(_NOT_IN)
+
+
+@query("""with a as (select s_suppkey as k, case when s_suppkey % 3 > 0 then s_nationkey end as n from supplier), b as (select n_nationkey as m, case when n_nationkey % 2 > 0 then n_nationkey end as n from nation)
+select k, m, a.n is not distinct from b.n as both from a full join b on a.n = b.n""")
+def join_null_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null keys on both sides match nothing, and an outer join keeps their rows."""
+    nation, supplier = tables(spark, sf_dir, "nation", "supplier")
+    a = supplier.select(F.col("s_suppkey").alias("k"), F.when(F.col("s_suppkey") % 3 > 0, F.col("s_nationkey")).alias("a"))
+    b = nation.select(F.col("n_nationkey").alias("m"), F.when(F.col("n_nationkey") % 2 > 0, F.col("n_nationkey")).alias("b"))
+    return a.join(b, F.col("a") == F.col("b"), "full").select("k", "m", F.col("a").eqNullSafe(F.col("b")).alias("both"))
 
 
 @query("select a.n_name as a, b.n_name as b from nation a join nation b on a.n_regionkey < b.n_regionkey and a.n_nationkey > b.n_nationkey")
@@ -140,7 +169,8 @@ def join_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
     left = events.where("event_type = 'purchase'").select("event_id", "user_id", "ts")
     right = events.where("event_type = 'view'").select("user_id", "ts", F.col("event_id").alias("seen"), "value")
-    return asof_join(left, right, "user_id", "ts", ["seen", "value"]).select("event_id", "asof_seen", F.round("asof_value", 4).alias("asof_value"))
+    found = asof_join(left, right, "user_id", "ts", ["seen", "value"], lambda at: at.cast("date"))
+    return found.select("event_id", "asof_seen", F.round("asof_value", 4).alias("asof_value"))
 
 
 @query("""select n_name, s_suppkey from nation, lateral (select s_suppkey from supplier where s_nationkey = n_nationkey order by s_acctbal desc, s_suppkey limit 2)""")

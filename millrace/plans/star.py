@@ -24,3 +24,11 @@ def star_revenue_by_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
     sold = lines.join(supplier.select("s_suppkey", "s_nationkey"), (F.col("l_suppkey") == F.col("s_suppkey")) & (F.col("s_nationkey") == F.col("c_nationkey")))
     named = sold.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey"))
     return named.groupBy("n_name").agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 4).alias("revenue"), F.count("*").alias("n"))
+
+
+@query("""select lang, quality, toxic, count(*) as n, round(avg(length(text)), 4) as mean_chars from documents d join labels l on d.doc_id = l.doc_id group by lang, quality, toxic""")
+def star_labels_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled documents by language: the texts give their lengths before the join, so no text is shuffled."""
+    documents, labels = tables(spark, sf_dir, "documents", "labels")
+    sizes = documents.select("doc_id", "lang", F.length("text").alias("chars"))
+    return sizes.join(labels, "doc_id").groupBy("lang", "quality", "toxic").agg(F.count("*").alias("n"), F.round(F.avg("chars"), 4).alias("mean_chars"))

@@ -13,8 +13,12 @@ from millrace.session import table
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new path under spark.checkpoint.dir, or under a local folder where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="millrace-")
+    """A new path under spark.checkpoint.dir; where that is unset a local folder, which only a local master can share."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="millrace-")
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 

@@ -2,16 +2,22 @@
 
 A stream reads the table's Parquet files with an explicit schema, event time as a zoned timestamp (a timestamp without
 zone carries no watermark), and runs with the availableNow trigger into a Parquet sink or, for complete and update
-modes, through foreachBatch into Parquet. Results are read back from the sink, so nothing passes through the driver.
+modes, through foreachBatch into Parquet. Results are read back from the sink, so nothing passes through the driver; the
+memory sink alone keeps them there, and serves results of a few rows.
+
+Windows are appended once, when the watermark has passed their end, and their state goes with them. The windows that
+the last watermark has not passed are therefore not in the results: the SQL leaves them out too.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from millrace.catalog import query
@@ -19,10 +25,10 @@ from millrace.session import table
 from millrace.sources.formats import scratch
 
 
-def stream(spark: SparkSession, sf_dir: str, name: str = "events", at: str = "ts", delay: str = "1 hour") -> DataFrame:
+def stream(spark: SparkSession, sf_dir: str, name: str = "events", at: str = "ts", delay: str = "1 hour", files_per_batch: int = 1000) -> DataFrame:
     """`name` as a stream with a watermark on `at`. A table that is one file is read by its folder and a name filter."""
     batch = table(spark, sf_dir, name)
-    reader = spark.readStream.schema(batch.schema).option("pathGlobFilter", "*.parquet")
+    reader = spark.readStream.schema(batch.schema).option("pathGlobFilter", "*.parquet").option("maxFilesPerTrigger", files_per_batch)
     path = f"{sf_dir}/{name}.parquet"
     found = {f.rpartition("/")[0] for f in batch.inputFiles()}
     one_file = not any(f.rstrip("/").endswith(f"{name}.parquet") for f in found)
@@ -39,37 +45,61 @@ def finish(out: DataFrame, mode: str, label: str) -> DataFrame:
         writer = writer.format("parquet").option("path", sink)
     else:  # a file sink takes appended rows only
         writer = writer.foreachBatch(lambda rows, _: rows.write.mode("overwrite" if mode == "complete" else "append").parquet(sink))
-    writer.start().awaitTermination()
+    run(writer)
     return spark.read.schema(out.schema).parquet(sink)
 
 
+def run(writer: DataStreamWriter) -> list[dict]:
+    """Runs until all that is there has been read; gives what Spark reports of each batch."""
+    done = writer.start()
+    done.awaitTermination()
+    return done.recentProgress
+
+
 def _text(c: str):
     return F.date_format(F.col(c), "yyyy-MM-dd HH:mm:ss")
 
 
-@query("""select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') as start, event_type, count(*) as n, round(sum(value), 4) as total from events group by start, event_type""")
+#: What the last watermark, an hour behind the latest event, has passed; event times count in milliseconds there.
+_MARK = "(select date_trunc('milliseconds', max(ts)) - interval 1 hour from events)"
+
+
+@query(f"""select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') as start, event_type, count(*) as n, round(sum(value), 4) as total from events
+where date_trunc('hour', ts) + interval 1 hour <= {_MARK} group by start, event_type""")
 def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = stream(spark, sf_dir).groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
-    return finish(counted, "complete", "tumbling").select(_text("window.start").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+    return finish(counted, "append", "tumbling").select(_text("window.start").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-@query("""select strftime(time_bucket(interval 15 minute, ts) - k * interval 15 minute, '%Y-%m-%d %H:%M:%S') as start, count(*) as n from events, (select unnest(range(0, 4)) as k) group by start""")
+@query(f"""with w as (select time_bucket(interval 15 minute, ts) - k * interval 15 minute as begins from events, (select unnest(range(0, 4)) as k))
+select strftime(begins, '%Y-%m-%d %H:%M:%S') as start, count(*) as n from w where begins + interval 1 hour <= {_MARK} group by start""")
 def stream_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = stream(spark, sf_dir).groupBy(F.window("ts", "1 hour", "15 minutes")).agg(F.count("*").alias("n"))
-    return finish(counted, "complete", "sliding").select(_text("window.start").alias("start"), "n")
+    return finish(counted, "append", "sliding").select(_text("window.start").alias("start"), "n")
 
 
-@query("""with g as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 30 minute then 0 else 1 end as fresh from events),
+@query(f"""with g as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 30 minute then 0 else 1 end as fresh from events),
 s as (select user_id, ts, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) as k from g)
-select user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') as start, count(*) as n from s group by user_id, k""")
+select user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') as start, count(*) as n from s group by user_id, k having max(ts) + interval 30 minute <= {_MARK}""")
 def stream_session(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = stream(spark, sf_dir).groupBy(F.session_window("ts", "30 minutes"), "user_id").agg(F.count("*").alias("n"))
-    return finish(counted, "complete", "session").select("user_id", _text("session_window.start").alias("start"), "n")
+    return finish(counted, "append", "session").select("user_id", _text("session_window.start").alias("start"), "n")
 
 
-@query("select distinct user_id, event_type from events")
+@query("select event_id, user_id, event_type from events")
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return finish(stream(spark, sf_dir, delay="40 days").dropDuplicatesWithinWatermark(["user_id", "event_type"]).select("user_id", "event_type"), "append", "dedup")
+    """Every event comes twice, as from a source that delivers at least once; an id is remembered for the delay, an hour."""
+    twice = stream(spark, sf_dir).union(stream(spark, sf_dir))
+    return finish(twice.dropDuplicatesWithinWatermark(["event_id"]).select("event_id", "user_id", "event_type"), "append", "dedup")
+
+
+@query("select event_type, count(*) as n from events group by event_type")
+def stream_memory_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Complete mode into the memory sink: one row for each event type, however many events there are."""
+    name = f"millrace_{uuid.uuid4().hex}"
+    counted = stream(spark, sf_dir).groupBy("event_type").agg(F.count("*").alias("n"))
+    run(counted.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).option("checkpointLocation", scratch(spark, "memory-checkpoint")))
+    return spark.table(name)
 
 
 @query("select event_id, user_id, round(value * 2, 4) as twice from events where event_type = 'purchase'")
@@ -87,18 +117,31 @@ def stream_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 class Counter(StatefulProcessor):
-    """Events and total value of each user over the stream's life."""
+    """Events and total value of each user; a user silent for `IDLE_MS` of event time is forgotten and starts anew."""
+
+    IDLE_MS = 30 * 24 * 3600 * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("totals", "n bigint, total double")
+        self.handle = handle
+        self.state = handle.getValueState("totals", "n bigint, total double, until bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        n, total = self.state.get() if self.state.exists() else (0, 0.0)
+        n, total, until = self.state.get() if self.state.exists() else (0, 0.0, 0)
+        last = until
         for pdf in rows:
             n, total = n + len(pdf), total + float(pdf["value"].sum())
-        self.state.update((n, total))
+            last = max(last, int(pdf["at_ms"].max()) + self.IDLE_MS)
+        if last > until:
+            if until:
+                self.handle.deleteTimer(until)
+            self.handle.registerTimer(last)
+        self.state.update((n, total, last))
         yield pd.DataFrame({"user_id": [key[0]], "n": [n], "total": [total]})
 
+    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        return iter(())
+
     def close(self) -> None:
         pass
 
@@ -109,8 +152,9 @@ def stream_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = spark.conf.get(provider)
     spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        grouped = stream(spark, sf_dir).select("user_id", "value").groupBy("user_id")
-        out = grouped.transformWithStateInPandas(Counter(), "user_id bigint, n bigint, total double", "Update", "None")
+        at_ms = (F.unix_micros("ts") / 1000).cast("long").alias("at_ms")
+        grouped = stream(spark, sf_dir).select("user_id", "value", "ts", at_ms).groupBy("user_id")
+        out = grouped.transformWithStateInPandas(Counter(), "user_id bigint, n bigint, total double", "Update", "EventTime")
         done = finish(out, "update", "state")
     finally:
         spark.conf.set(provider, before)

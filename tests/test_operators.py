@@ -1,23 +1,37 @@
 """What the fixtures can't show: null keys, ties, empty tables, late rows, shuffles that should not be there."""
 
+import os
 from datetime import datetime
 
+import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from millrace.operators.joins import asof_join, range_join
-from millrace.sources.formats import source_bucketed
+from millrace.sources.formats import scratch, source_bucketed
+from millrace.streaming import events
 
 SF = "/root/testdata/sf0.001"
 
 
-def test_asof_join_nulls_ties_and_empty(spark):
+@pytest.mark.parametrize("bucket", [None, lambda at: F.floor(F.minute(at) / 2), lambda at: F.minute(at)])
+def test_asof_join_nulls_ties_and_empty(spark, bucket):
     t = lambda m: datetime(2024, 1, 1, 0, m)
-    left = spark.createDataFrame([(1, t(5), "a"), (1, t(0), "b"), (None, t(9), "c"), (2, t(3), "d")], "k int, at timestamp, name string")
-    right = spark.createDataFrame([(1, t(1), 10), (1, t(5), 20), (1, t(5), 30), (None, t(1), 40), (2, t(4), 50)], "k int, at timestamp, v int")
-    got = {r["name"]: r["asof_v"] for r in asof_join(left, right, "k", "at", ["v"]).collect()}
-    assert got == {"a": 30, "b": None, "c": None, "d": None}
-    assert [r["asof_v"] for r in asof_join(left, right.limit(0), "k", "at", ["v"]).collect()] == [None] * 4
-    assert asof_join(left.limit(0), right, "k", "at", ["v"]).count() == 0
+    left = spark.createDataFrame([(1, t(5), "a"), (1, t(0), "b"), (None, t(9), "c"), (2, t(3), "d"), (1, t(40), "e")], "k int, at timestamp, name string")
+    right = spark.createDataFrame([(1, t(1), 10), (1, t(5), 20), (1, t(5), 30), (None, t(1), 40), (2, t(4), 50), (1, None, 60)], "k int, at timestamp, v int")
+    got = {r["name"]: r["asof_v"] for r in asof_join(left, right, "k", "at", ["v"], bucket).collect()}
+    assert got == {"a": 30, "b": None, "c": None, "d": None, "e": 30}
+    assert [r["asof_v"] for r in asof_join(left, right.limit(0), "k", "at", ["v"], bucket).collect()] == [None] * 5
+    assert asof_join(left.limit(0), right, "k", "at", ["v"], bucket).count() == 0
+
+
+def test_asof_join_keeps_null_keys_out_of_the_shuffle(spark):
+    from millrace.operators.joins import join_asof
+
+    df = asof_join(spark.range(9).select(F.lit(None).cast("int").alias("k"), "id"), spark.range(9).select(F.lit(None).cast("int").alias("k"), "id", F.lit(1).alias("v")), "k", "id", ["v"])
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    assert df.where("asof_v is null").count() == 9
+    assert "__part" in join_asof(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
 
 
 def test_range_join_equals_nested_loop(spark):
@@ -45,3 +59,99 @@ def test_top_per_group_limits_before_the_shuffle(spark):
     from millrace.operators.windows import window_top_per_group
 
     assert "WindowGroupLimit" in window_top_per_group(spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_late_rows_are_dropped(spark, tmp_path):
+    """Four files, one a batch: the third raises the watermark, a spacer makes it count, then a row comes too late."""
+    at = lambda h, m=0: datetime(2024, 1, 1, h, m)
+    folder = f"{tmp_path}/events.parquet"
+    for k, rows in enumerate([[(1, at(1, 10))], [(2, at(5))], [(3, at(5, 1))], [(4, at(1, 20)), (5, at(9))], [(6, at(9, 1))]]):
+        spark.createDataFrame(rows, "event_id long, ts timestamp_ntz").coalesce(1).write.mode("append").parquet(folder)
+        for f in os.listdir(folder):
+            if f.endswith(".parquet") and not os.path.exists(f"{tmp_path}/{f}.seen"):
+                os.utime(f"{folder}/{f}", (1_000_000 + 60 * k, 1_000_000 + 60 * k))
+                open(f"{tmp_path}/{f}.seen", "w").close()
+    counted = events.stream(spark, str(tmp_path), files_per_batch=1).groupBy(F.window("ts", "1 hour")).agg(F.count("*").alias("n"))
+    sink = scratch(spark, "late")
+    progress = events.run(counted.writeStream.outputMode("append").format("parquet").option("path", sink).option("checkpointLocation", scratch(spark, "late-checkpoint")).trigger(availableNow=True))
+    got = {r["window"]["start"].hour: r["n"] for r in spark.read.schema(counted.schema).parquet(sink).collect()}
+    assert got == {1: 1, 5: 2}  # the row of 1:20 is not in the window of 1:00, that of 9:00 is still open
+    assert sum(s["numRowsDroppedByWatermark"] for p in progress for s in p["stateOperators"]) == 1
+
+
+def test_dedup_forgets_after_the_delay(spark, tmp_path):
+    rows = [(k, datetime(2024, 1, 1, 0, k % 50), "x") for k in range(50)]
+    spark.createDataFrame(rows + rows[:20], "event_id long, ts timestamp_ntz, event_type string").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    once = events.stream(spark, str(tmp_path), delay="1 hour").dropDuplicatesWithinWatermark(["event_id"])
+    assert events.finish(once, "append", "once").count() == 50
+
+
+def test_state_is_forgotten_in_time():
+    """A user's timer moves on with their events, and when it ends the state goes."""
+    import pandas as pd
+
+    timers, held = set(), []
+
+    class State:
+        exists = lambda self: bool(held)
+        get = lambda self: held[-1]
+        update = lambda self, v: held.append(v)
+        clear = lambda self: held.clear()
+
+    class Handle:
+        getValueState = lambda self, name, schema: State()  # noqa: E731, N815
+        registerTimer = lambda self, t: timers.add(t)  # noqa: E731, N815
+        deleteTimer = lambda self, t: timers.discard(t)  # noqa: E731, N815
+
+    c = events.Counter()
+    c.init(Handle())
+    rows = lambda *at: iter([pd.DataFrame({"value": [1.0] * len(at), "at_ms": at})])
+    assert list(c.handleInputRows((7,), rows(5, 9), None))[0].values.tolist() == [[7, 2, 2]]
+    list(c.handleInputRows((7,), rows(20), None))
+    list(c.handleInputRows((7,), rows(3), None))
+    assert timers == {20 + c.IDLE_MS} and held[-1][:2] == (4, 4.0)
+    assert list(c.handleExpiredTimer((7,), None, None)) == [] and not held
+    assert list(c.handleInputRows((7,), rows(99), None))[0].values.tolist() == [[7, 1, 1]]
+
+
+def test_samples_hold_about_their_share(spark):
+    lines = spark.read.parquet("/root/testdata/sf0.01/lineitem.parquet")
+    n = lines.count()
+    assert 0.18 * n < lines.sample(0.2, seed=7).count() < 0.22 * n
+    flags = lines.groupBy("l_returnflag").count().collect()
+    got = {r["l_returnflag"]: r["count"] for r in lines.sampleBy("l_returnflag", {"A": 0.5, "R": 0.1}, seed=7).groupBy("l_returnflag").count().collect()}
+    want = {r["l_returnflag"]: r["count"] for r in flags}
+    assert set(got) == {"A", "R"} and abs(got["A"] / want["A"] - 0.5) < 0.03 and abs(got["R"] / want["R"] - 0.1) < 0.02
+
+
+def test_sketches_are_near_the_exact_figures(spark):
+    lines = spark.read.parquet("/root/testdata/sf0.01/lineitem.parquet")
+    k, v = F.col("l_orderkey"), F.col("l_extendedprice")
+    r = lines.agg(
+        F.count_distinct(k).alias("exact"), F.approx_count_distinct(k, 0.01).alias("hll++"), F.hll_sketch_estimate(F.hll_sketch_agg(k)).alias("hll"), F.theta_sketch_estimate(F.theta_sketch_agg(k)).alias("theta"),
+        F.percentile(v, 0.5).alias("median"), F.percentile_approx(v, 0.5, 10000).alias("gk"), F.kll_sketch_get_quantile_double(F.kll_sketch_agg_double(v), F.lit(0.5)).alias("kll"), F.count_min_sketch(F.col("l_partkey"), F.lit(0.01), F.lit(0.99), F.lit(7)).alias("cms"),
+    ).first()
+    assert all(abs(r[c] / r["exact"] - 1) < 0.05 for c in ("hll++", "hll", "theta"))
+    assert all(abs(r[c] / r["median"] - 1) < 0.03 for c in ("gk", "kll")) and len(r["cms"]) > 1000
+    h = lines.agg(F.histogram_numeric(v, F.lit(20)).alias("h")).first()["h"]
+    assert sum(b["y"] for b in h) == lines.count() and [b["x"] for b in h] == sorted(b["x"] for b in h)
+
+
+def test_xxhash64_is_the_hash_of_that_name(spark):
+    r = spark.createDataFrame([("straße",)], "s string").select(F.xxhash64("s").alias("h")).first()
+    assert r["h"] % (1 << 64) == xxhash.xxh64_intdigest("straße".encode(), 42)
+
+
+def test_scratch_folders_must_be_shared():
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Session:
+        conf = Conf()
+        sparkContext = type("C", (), {"master": "local-cluster[2,1,1024]"})()  # noqa: N815
+
+    with pytest.raises(ValueError, match="shared|share"):
+        scratch(Session(), "x")
+    Session.sparkContext.master = "local[4]"
+    assert "millrace-" in scratch(Session(), "x")
