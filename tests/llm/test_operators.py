@@ -1,12 +1,17 @@
 """Operators on small tables: nulls, empty texts, ties, repeats, clashing columns, empty tables; and against brute force."""
 
 import hashlib
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
+import xxhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -175,35 +180,79 @@ def test_packing(spark, odd):
     assert packing.pack(empty(odd), queries.tokenizer_file("byte_bpe_50k.tiktoken"), queries.tokenizer_pattern()).count() == 0
 
 
-def test_imatch(spark):
+def _terms(text):
+    words = [w for w in re.split(r"[\s!-/:-@\[-`{-~]+", text.lower()) if w]
+    return {xxhash.xxh64_intdigest(w.encode(), 42) for w in words}
+
+
+def _fingerprint(terms):
+    """The hash of each subset's terms, in plain Python: XXH64 chained over the longs, as Spark hashes an array."""
+    out, shift = [], 24
+    for slots in imatch.SLOTS:
+        width = slots.bit_length() - 1
+        turned = [((h << (64 - shift - width)) | (h >> (shift + width))) % (1 << 64) for h in terms]
+        signed = lambda v: v - (1 << 64) if v >> 63 else v
+        for j in sorted(range(imatch.PARTS), key=lambda j: signed(j << (64 - width))):
+            own = sorted(signed(t) for h, t in zip(terms, turned, strict=True) if (h >> shift) % slots == j)
+            digest = 42
+            for t in own:
+                digest = xxhash.xxh64_intdigest((t % (1 << 64)).to_bytes(8, "little"), digest)
+            out.append((digest >> 33) + 1 if own else 0)
+        shift += width
+    return out
+
+
+def _likeness(a, b):
+    used = [(x, y) for x, y in zip(a, b, strict=True) if x or y]
+    return sum(x == y for x, y in used) / len(used) if used else 1.0
+
+
+@pytest.mark.parametrize(("repeats", "inline_terms", "partitions"), [(False, 250_000, 4), (True, 250_000, 4), (False, 0, 4), (False, 250_000, 1)])
+def test_imatch_against_brute_force(spark, repeats, inline_terms, partitions):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     docs = docs.union(spark.createDataFrame([(5000, None), (6000, "ab"), (None, "abc def"), (7000, "é😀x" * 5)], "doc_id long, text string"))
-    got = {r["doc_id"]: r for r in imatch.edited_and_next(docs, imatch.lexicon(docs)).collect()}
-    rows = sorted(((r["doc_id"], r["text"] or "") for r in docs.collect()), key=lambda r: -(1 << 63) if r[0] is None else r[0], reverse=True)
-    seen = {}
-    for k, (i, t) in enumerate(rows):
-        other = rows[(k + 1) % len(rows)][1]
+    if repeats:
+        docs = docs.union(spark.createDataFrame([(7, "zz repeated"), (7, "aa repeated"), (7, "aa repeated"), (None, "more")], "doc_id long, text string"))
+    key = lambda i: -(1 << 63) if i is None else i
+    rows = sorted(((r["doc_id"], r["text"] or "") for r in docs.collect()), key=lambda r: (key(r[0]), r[1]))
+    least = {i: t for i, t in reversed(rows)}
+    order = sorted(least, key=key)
+    below = {i: least[order[k - 1]] for k, i in enumerate(order)}
+    df = Counter(h for _, t in rows for h in _terms(t))
+    band = {h for h, n in df.items() if max(2, 0.01 * len(rows)) <= n <= max(2, 0.05 * len(rows))}
+    prints = lambda t: _fingerprint(_terms(t) & band or _terms(t))
+    want = []
+    for i, t in rows:
         half = len(t) // 2
-        edited = t[: len(t) - half] + other[:half]
-        assert got[i]["n_chars"] == len(t) and got[i]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
-        assert seen.setdefault(t, got[i]["fingerprint"]) == got[i]["fingerprint"]
-        assert 0 <= got[i]["near_edited"] <= 1 and (t != other or got[i]["near_next"] == 1)
-    assert sum(r["near_edited"] > r["near_next"] for r in got.values()) > 0.9 * len(got)
+        edited = t[: len(t) - half] + below[i][:half]
+        a, b, c = prints(t), prints(edited), prints(below[i])
+        text = lambda f: "".join(f"{x:08x}" for x in f)
+        want.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), text(a), text(b), round(_likeness(a, b), 12), round(_likeness(a, c), 12)))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        lex = imatch.lexicon(docs, low=0.01, inline_terms=inline_terms)
+        assert {r["term"] % (1 << 64) for r in lex.terms.collect()} == band and (lex.slots is None) == (inline_terms == 0)
+        got = [(*tuple(r)[:5], round(r["near_edited"], 12), round(r["near_next"], 12)) for r in imatch.edited_and_next(docs, lex).collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sorted(got, key=repr) == sorted(want, key=repr)
     none = docs.limit(0)
     assert imatch.edited_and_next(none, imatch.lexicon(none)).count() == 0
 
 
-def test_imatch_terms_equal_python(spark):
-    import re
+def test_imatch_tells_edited_texts_from_others(spark):
+    got = queries.op7_imatch(spark, "/root/testdata/sf0.01").agg(F.avg((F.col("near_edited") > F.col("near_next")).cast("int")), F.count("*")).first()
+    assert got[0] > 0.9 and got[1] == 1000
 
-    import xxhash
 
-    docs = spark.createDataFrame([(1, "b a, B! c"), (2, "a d"), (3, "a c"), (4, None)], "doc_id long, text string")
-    lex = imatch.lexicon(docs, low=0.5, high=0.6)
-    want = {xxhash.xxh64_intdigest(w.encode(), 42) for w in "c"}
-    kept = docs.select("doc_id", imatch.terms_kept(F.col("text"), imatch._literal(lex)).alias("t")).collect()
-    by = {r["doc_id"]: {v % (1 << 64) for v in r["t"]} for r in kept}
-    assert by[1] == by[3] == want and by[2] == {xxhash.xxh64_intdigest(w.encode(), 42) for w in re.findall(r"\w+", "a d")} and by[4] == set()
+@settings(max_examples=50, deadline=None)
+@given(st.sets(st.integers(-(1 << 63), (1 << 63) - 1).filter(bool), max_size=300))
+def test_imatch_table_holds_every_term(terms):
+    table = imatch.hash_table(sorted(terms))
+    bits = len(table).bit_length() - 1
+    assert sorted(t for t in table if t) == sorted(terms)
+    assert all(t in (table[t & (len(table) - 1)], table[(t % (1 << 64)) >> (64 - bits)]) for t in terms)
 
 
 def test_urlfilter_empty_and_extra_columns(spark):
