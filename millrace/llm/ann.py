@@ -1,11 +1,17 @@
 """Approximate nearest neighbours by an adaptive dimension scan over inverted lists.
 
-The index: centroids from k-means on a bounded sample (`sample` vectors with the smallest hash), and every vector filed
-under its nearest centroid. A query probes the `probes` lists with the nearest centroids. Vectors are rotated by one
-random orthogonal matrix, so that any part of the coordinates is a fair sample of the whole distance, and scanned in
-column blocks: after d of D columns the partial distance scaled by D / d estimates the whole, and a candidate whose
-estimate exceeds the current k-th distance by more than the test's margin, (1 + epsilon / sqrt(d))^2, is abandoned. What
-is left at the end is measured exactly, on the original vectors, in double precision.
+The index: centroids from k-means on a bounded sample (`sample` vectors with the smallest hash), about as many as the root of
+the number of vectors (a quarter of the sample at most), and every vector filed under its nearest centroid. A query probes
+the lists with the nearest centroids. How many is measured where it is not given: among `TRIALS` vectors of the sample, the
+fewest lists that hold a share `goal` of their true nearest neighbours in the sample.
+
+Vectors are rotated by one random orthogonal matrix, so that any part of the coordinates is a fair sample of the whole
+distance, and scanned in column blocks. After d of D columns of a candidate as far as the bound the partial squared distance
+is the bound's times a Beta(d / 2, (D - d) / 2) variable: a candidate is abandoned where its partial distance exceeds what
+that variable exceeds with a chance of `alpha`. The bound is the query's k-th nearest distance so far: it falls from chunk
+to chunk of a list, and is carried from list to list: the nearest lists are scanned first, and what they find bounds the scan of the
+others. What is left at the end is measured exactly, on the original vectors, in double precision. The share of all
+coordinates of probed candidates that were read comes with the result.
 
 Equal vectors are one candidate and one query: of copies only the k + 1 smallest ids can appear in a result, and a
 window limit keeps just those before the shuffle. Lists are cut into blocks of about `block_rows` candidates and
@@ -55,41 +61,86 @@ def nearest(x: np.ndarray, centroids: np.ndarray, m: int) -> np.ndarray:
     return np.concatenate(out) if out else np.empty((0, m), np.int64)
 
 
-def scan(queries: np.ndarray, candidates: np.ndarray, turned_queries: np.ndarray, turned: np.ndarray, k: int, epsilon: float, columns: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each query (rows of the nearest candidates found, their exact distances)."""
-    dims = turned.shape[1]
-    blocks = [np.ascontiguousarray(turned[:, a : a + columns]) for a in range(0, dims, columns)]
+def margins(dims: int, columns: int, alpha: float) -> list[tuple[int, float]]:
+    """(columns read, share of the squared bound beyond which a candidate is abandoned) for each test."""
+    t = (np.arange(200_000) + 0.5) / 200_000
     out = []
+    for d in range(columns, dims, columns):
+        log = (d / 2 - 1) * np.log(t) + ((dims - d) / 2 - 1) * np.log1p(-t)
+        cdf = np.cumsum(np.exp(log - log.max()))
+        out.append((d, float(t[min(np.searchsorted(cdf, (1 - alpha) * cdf[-1]), len(t) - 1)])))
+    return out
+
+
+#: Candidates that are scanned before the bound is set anew.
+CHUNK = 1024
+
+
+def scan(queries: np.ndarray, candidates: np.ndarray, turned_queries: np.ndarray, turned: np.ndarray, k: int, bounds: np.ndarray, tests: list[tuple[int, float]]) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """For each query: rows of the nearest candidates found, their exact distances, and how many coordinates were read.
+
+    `bounds` holds a distance for each query that its k-th nearest is known not to exceed (inf: none is known).
+    """
+    dims = turned.shape[1]
+    edges = [0, *(d for d, _ in tests), dims]
+    limits = [share for _, share in tests]
     head = min(len(candidates), max(4 * k, 64))
-    for q, t in zip(queries, turned_queries, strict=True):
-        # The first candidates set the bound for the others.
-        bound = np.partition(((turned[:head] - t) ** 2).sum(axis=1), min(k, head) - 1)[min(k, head) - 1] if head >= k else np.inf
-        alive = np.arange(len(candidates))
-        partial = np.zeros(len(candidates))
-        done = 0
-        for block in blocks:
-            part = block[alive] if len(alive) < len(block) else block
-            partial = partial + ((part - t[done : done + columns]) ** 2).sum(axis=1)
-            done += block.shape[1]
-            if done < dims:
-                ok = partial * (dims / done) <= bound * (1 + epsilon / np.sqrt(done)) ** 2
-                alive, partial = alive[ok], partial[ok]
-        if len(alive) > k:  # all ties at the bound stay
-            limit = np.partition(partial, k - 1)[k - 1]
-            alive = alive[partial <= limit * (1 + 1e-9) + 1e-12]
-        out.append((alive, np.sqrt(((candidates[alive] - q) ** 2).sum(axis=1))))
+    starts = [0, *range(head, len(candidates), CHUNK), len(candidates)]
+    out = []
+    for q, t, bound in zip(queries, turned_queries, bounds, strict=True):
+        rows, far, read = np.empty(0, np.int64), np.empty(0), 0
+        for a, b in zip(starts[:-1], starts[1:], strict=True):
+            alive, partial = np.arange(a, b), np.zeros(b - a)
+            for n, (x, y) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+                part = turned[a:b, x:y] if len(alive) == b - a else turned[alive, x:y]
+                partial = partial + ((part - t[x:y]) ** 2).sum(axis=1)
+                read += part.size
+                share = limits[n] if n < len(limits) else 1.0
+                ok = partial <= bound**2 * share * (1 + 1e-9) + 1e-12
+                if not ok.all():
+                    alive, partial = alive[ok], partial[ok]
+            if len(alive):
+                rows = np.concatenate((rows, alive))
+                far = np.concatenate((far, np.sqrt(((candidates[alive] - q) ** 2).sum(axis=1))))
+                if len(rows) > k:  # all ties at the bound stay
+                    near = far <= np.partition(far, k - 1)[k - 1]
+                    rows, far = rows[near], far[near]
+                if len(rows) >= k:
+                    bound = min(bound, far.max())
+        out.append((rows, far, read))
     return out
 
 
-def search(df: DataFrame, is_query, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, lists: int = 256, probes: int = 160, epsilon: float = 2.1, columns: int = 16, sample: int = SAMPLE, block_rows: int = 8192, block_queries: int = 2048) -> DataFrame:
-    """For each row that `is_query` admits its k nearest other rows: query_id, rank, vec_id, score."""
+#: Vectors of the sample whose true neighbours tell how many lists to probe.
+TRIALS = 256
+
+
+def probes_for(x: np.ndarray, centroids: np.ndarray, k: int, goal: float) -> int:
+    """The fewest lists that hold a share `goal` of the true k nearest neighbours of `TRIALS` rows of `x`, within `x`."""
+    if len(x) <= k + 1:
+        return len(centroids)
+    own = nearest(x, centroids, 1)[:, 0]
+    trials = np.linspace(0, len(x) - 1, min(TRIALS, len(x))).astype(int)
+    order = nearest(x[trials], centroids, len(centroids))
+    ranks = []
+    for row, at in zip(order, trials, strict=True):
+        place = np.empty(len(centroids), np.int64)
+        place[row] = np.arange(len(centroids))
+        far = ((x - x[at]) ** 2).sum(axis=1)
+        far[at] = np.inf
+        ranks.append(place[own[np.argpartition(far, k)[:k]]])
+    return int(np.quantile(np.concatenate(ranks), goal, method="higher")) + 1
+
+
+def search(df: DataFrame, is_query, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, lists: int | None = None, probes: int | None = None, goal: float = 0.98, alpha: float = 0.001, columns: int = 16, sample: int = SAMPLE, block_rows: int = 8192, block_queries: int = 2048) -> DataFrame:
+    """For each row that `is_query` admits its k nearest other rows: query_id, rank, vec_id, score, share_read."""
     spark = df.sparkSession
     v = F.col("v")
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     rows = rows.where(F.col("id").isNotNull() & v.isNotNull() & finite & F.exists(v, lambda x: x != 0))
     size = rows.groupBy(F.size("v").alias("dims")).count().orderBy(F.desc("count"), F.desc("dims")).first()
-    schema = "query_id long, rank int, vec_id long, score double"
+    schema = "query_id long, rank int, vec_id long, score double, share_read double"
     if size is None:
         return spark.createDataFrame([], schema)
     dims = size["dims"]
@@ -102,10 +153,13 @@ def search(df: DataFrame, is_query, id_col: str = "vec_id", vector_col: str = "e
     asked = rows.where(is_query(F.col("id"))).select("id", "key", "v").distinct()
     asked_points = written(asked.select("key", "v").distinct(), "asked")
 
+    held = points.count()
     train = points.orderBy("key", F.element_at("ids", 1)).limit(sample).select("v").collect()
-    centroids = kmeans(np.array([r["v"] for r in train]), lists)
-    turn = rotation(dims)
-    m = min(probes, len(centroids))
+    x = np.array([r["v"] for r in train])
+    centroids = kmeans(x, lists or max(1, min(round(held**0.5), len(x) // 4)))
+    turn, tests = rotation(dims), margins(dims, columns, alpha)
+    m = min(probes or probes_for(x, centroids, k, goal), len(centroids))
+    first = min(m, -(-4 * (k + 1) * len(centroids) // held))  # lists whose candidates set the bound
     shared = spark.sparkContext.broadcast(centroids)
 
     def assign(count: int):
@@ -118,32 +172,43 @@ def search(df: DataFrame, is_query, id_col: str = "vec_id", vector_col: str = "e
         return run
 
     filed = written(points.mapInPandas(assign(1), "key long, v array<double>, ids array<long>, list array<int>").withColumn("list", F.col("list")[0]), "lists")
-    probing = written(asked_points.mapInPandas(assign(m), "key long, v array<double>, list array<int>").withColumn("list", F.explode("list")), "probes")
-    # How many blocks each list has, a table of at most `lists` rows.
-    held = filed.groupBy("list").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("c"))
-    wanted = probing.groupBy("list").agg(F.ceil(F.count("*") / block_queries).cast("int").alias("q"))
-    blocks = F.broadcast(held.join(wanted, "list"))
-    slot = lambda n, seed: F.pmod(F.xxhash64("key", F.lit(seed)), F.col(n)).cast("int")
-    left = probing.join(blocks, "list").withColumn("qb", slot("q", 3)).withColumn("cb", F.explode(F.sequence(F.lit(0), F.col("c") - 1))).select("list", "qb", "cb", "key", "v")
-    right = filed.join(blocks, "list").withColumn("cb", slot("c", 5)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("q") - 1))).select("list", "qb", "cb", "ids", "v")
+    probing = written(asked_points.mapInPandas(assign(m), "key long, v array<double>, list array<int>").select("key", "v", F.posexplode("list").alias("place", "list")), "probes")
 
     def meet(queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(candidates):
-            return pd.DataFrame({"qkey": [], "qv": [], "vec_id": [], "score": []})
+            return pd.DataFrame({"qkey": [], "qv": [], "vec_id": [], "score": [], "read": [], "seen": []})
         candidates = candidates.sort_values("ids", key=lambda s: s.map(lambda x: x[0]))
         q, c = (np.array(x["v"].tolist()) for x in (queries, candidates))
         ids = candidates["ids"].tolist()
         rows = []
-        for key, vector, (at, far) in zip(queries["key"], queries["v"], scan(q, c, q @ turn, c @ turn, k + 1, epsilon, columns), strict=True):
+        for key, vector, (at, far, read) in zip(queries["key"], queries["v"], scan(q, c, q @ turn, c @ turn, k + 1, queries["bound"].to_numpy(), tests), strict=True):
             near = sorted((d, i) for a, d in zip(at.tolist(), far.tolist(), strict=True) for i in ids[a])[: k + 1]
-            rows += [(key, vector, i, d) for d, i in near]
-        return pd.DataFrame(rows, columns=["qkey", "qv", "vec_id", "score"])
-
-    keys = ["list", "qb", "cb"]
-    met = left.groupBy(keys).cogroup(right.groupBy(keys)).applyInPandas(meet, "qkey long, qv array<double>, vec_id long, score double")
-    best = Window.partitionBy("qkey", "qv").orderBy("score", "vec_id")
-    top = met.withColumn("at", F.row_number().over(best)).where(F.col("at") <= k + 1).drop("at")
+            rows.append((key, vector, None, None, read, c.size))  # what was read, found or not
+            rows += [(key, vector, i, d, 0, 0) for d, i in near]
+        return pd.DataFrame(rows, columns=["qkey", "qv", "vec_id", "score", "read", "seen"]).astype({"vec_id": "Int64"})
+
+    def met(asking: DataFrame) -> DataFrame:
+        # How many blocks each list has, a table of at most `lists` rows.
+        has = filed.groupBy("list").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("c"))
+        wanted = asking.groupBy("list").agg(F.ceil(F.count("*") / block_queries).cast("int").alias("q"))
+        blocks = F.broadcast(has.join(wanted, "list"))
+        slot = lambda n, seed: F.pmod(F.xxhash64("key", F.lit(seed)), F.col(n)).cast("int")
+        left = asking.join(blocks, "list").withColumn("qb", slot("q", 3)).withColumn("cb", F.explode(F.sequence(F.lit(0), F.col("c") - 1))).select("list", "qb", "cb", "key", "v", "bound")
+        right = filed.join(blocks, "list").withColumn("cb", slot("c", 5)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("q") - 1))).select("list", "qb", "cb", "ids", "v")
+        keys = ["list", "qb", "cb"]
+        found = left.groupBy(keys).cogroup(right.groupBy(keys)).applyInPandas(meet, "qkey long, qv array<double>, vec_id long, score double, read long, seen long")
+        return written(found, "met")
+
+    of_query = Window.partitionBy("qkey", "qv")
+    best = of_query.orderBy(F.asc_nulls_last("score"), "vec_id")
+    near = met(probing.where(F.col("place") < first).withColumn("bound", F.lit(float("inf"))))
+    every = near
+    if first < m:
+        known = near.withColumn("at", F.row_number().over(best)).where(F.col("at") == k + 1).select(F.col("qkey").alias("key"), F.col("qv").alias("v"), F.col("score").alias("bound"))
+        rest = probing.where(F.col("place") >= first).join(known, ["key", "v"], "left")
+        every = near.union(met(rest.withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))))
+    top = every.withColumn("at", F.row_number().over(best)).withColumn("share_read", F.sum("read").over(of_query) / F.sum("seen").over(of_query)).where((F.col("at") <= k + 1) & F.col("vec_id").isNotNull()).drop("at", "read", "seen")
     # Back to the queries' own rows: copies of one vector share what was found; each leaves out itself.
     each = asked.select(F.col("id").alias("query_id"), F.col("key").alias("qkey"), F.col("v").alias("qv")).join(top, ["qkey", "qv"]).where("vec_id <> query_id")
     ranked = each.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    return ranked.select("query_id", "rank", "vec_id", "score", "share_read")

@@ -212,11 +212,29 @@ def test_adaptive_scan_finds_most_neighbours():
     assert np.allclose(turn @ turn.T, np.eye(64))
     q = x[:20] + 0.01
     hit = 0
-    for k, (at, far) in enumerate(ann.scan(q, x, q @ turn, x @ turn, 11, 2.1, 16)):
-        d = np.sqrt(((x - q[k]) ** 2).sum(axis=1))
-        assert np.allclose(far, d[at])
-        hit += len(set(np.argsort(d)[:11]) & set(at.tolist()))
-    assert hit >= 0.95 * 20 * 11
+    for bound in (np.inf, 9.0):
+        found = ann.scan(q, x, q @ turn, x @ turn, 11, np.full(20, bound), ann.margins(64, 16, 0.001))
+        for k, (at, far, read) in enumerate(found):
+            d = np.sqrt(((x - q[k]) ** 2).sum(axis=1))
+            assert np.allclose(far, d[at]) and read < x.size and far.max() <= bound
+            near = [i for i in np.argsort(d)[:11] if d[i] <= bound]
+            hit += len(set(near) & set(at.tolist())) / len(near)
+    assert hit >= 0.95 * 40
+
+
+def test_margins_are_quantiles():
+    rng = np.random.default_rng(2)
+    for d, share in ann.margins(64, 16, 0.01):
+        x = rng.standard_normal((20_000, 64)) ** 2
+        assert 0.005 < (x[:, :d].sum(axis=1) > share * x.sum(axis=1)).mean() < 0.02
+
+
+def test_probes_follow_the_data():
+    rng = np.random.default_rng(1)
+    clustered = rng.standard_normal((40, 16)).repeat(50, axis=0) * 5 + rng.standard_normal((2000, 16))
+    loose = rng.standard_normal((2000, 16))
+    few, many = (ann.probes_for(x, ann.kmeans(x, 40), 10, 0.98) for x in (clustered, loose))
+    assert few < 8 < many <= 40
 
 
 def test_urls():
