@@ -1,12 +1,15 @@
 """Language identification by Bayesian evidence fusion.
 
-Evidence of one document: its text (a naive Bayes likelihood over character trigrams, tempered, since neighbouring
+Evidence of one row: its text (a naive Bayes likelihood over character trigrams, tempered, since neighbouring
 trigrams are not independent), the language its markup declares, its address's suffix, and its host. Declarations and
 suffixes are likelihoods of one symbol each, learnt by counting them against the texts' languages and smoothed. The
 host's prior is smoothed hierarchically: all documents, then the suffix, then the host, each level a Dirichlet prior
 with `strength` pseudo-documents for the one below; all counts are sums of text posteriors by grouped aggregation over
 all documents, so a host of any size is summed on the map side.
 
+The language that a row is labelled with, where it is, serves to fit the trigram model only and is no evidence. Every text
+is cut into trigrams once: what it says is written before it is summed for the priors and joined with them.
+
 The trigram model is fitted on a sample of about `sample` distinct texts a language (those with small hashes), which are
 cut into trigrams whole and summed on the executors; only the model's table (2^16 rows a language) reaches the driver.
 
@@ -14,7 +17,8 @@ The priors go to the rows by a broadcast only where they have at most `broadcast
 
 Nulls and edges: a null or empty text has no text evidence, its other evidence decides; null declarations, suffixes and
 hosts are evidence of nothing (host and suffix then share one group); ties go to the language first in order; repeated
-rows are counted and returned each; an empty table gives an empty result.
+rows are counted and returned each; an empty table gives an empty result. Of the kept columns those with a name of the
+result's own (`RESULT`) are left out.
 """
 
 from __future__ import annotations
@@ -35,33 +39,46 @@ BROADCAST_HOSTS = 100_000
 LEAST_POSTERIOR, LEAST_LETTERS = 0.6, 0.2
 
 
-def _codes(text: str) -> np.ndarray:
-    """Lower-cased code points, anything but a letter as one border between words."""
+RESULT = ("language", "probability", "accepted", "text_language")
+
+
+def _letters(text: str) -> np.ndarray:
+    """Lower-cased code points, anything but a letter as a space."""
     c = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")
     # Letters: ASCII a-z and everything from U+00AA up that is no common punctuation or space.
     letter = ((c >= 97) & (c <= 122)) | ((c >= 0xAA) & ~((c >= 0x2000) & (c <= 0x2BFF)) & (c != 0xD7) & (c != 0xF7) & (c != 0xAB) & (c != 0xBB) & (c < 0xFE00))
-    c = np.where(letter, c, 32)
-    keep = np.ones(len(c), bool)
-    keep[1:] = (c[1:] != 32) | (c[:-1] != 32)
-    return c[keep]
+    return np.where(letter, c, 32)
 
 
 def trigrams(text: str | None) -> np.ndarray:
-    """Folded hashes of the text's trigrams, repeats included."""
-    c = _codes(f" {text or ''} ").astype(np.uint32)
+    """Folded hashes of the text's trigrams, repeats included; all that stands between two words is one border."""
+    return _hashes(_letters(f" {text or ''} "))
+
+
+def _hashes(c: np.ndarray) -> np.ndarray:
+    keep = np.ones(len(c), bool)
+    keep[1:] = (c[1:] != 32) | (c[:-1] != 32)
+    c = c[keep].astype(np.uint32)
     if len(c) < 3:
         return np.empty(0, np.int64)
     h = (c[:-2] * np.uint32(0x9E3779B1) ^ c[1:-1] * np.uint32(0x85EBCA77)) * np.uint32(0xC2B2AE3D) ^ c[2:] * np.uint32(0x27D4EB2F)
     return ((h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D) >> np.uint32(16)).astype(np.int64)
 
 
-def letter_share(text: str | None) -> float:
+def _share(c: np.ndarray, text: str) -> float:
     """Letters among the characters that are not spaces."""
-    t = "".join((text or "").split())
-    if not t:
-        return 0.0
-    c = _codes(t)
-    return min(1.0, float((c != 32).sum()) / len(t))
+    ink = sum(map(len, text.split()))
+    return min(1.0, float((c != 32).sum()) / ink) if ink else 0.0
+
+
+def letter_share(text: str | None) -> float:
+    return _share(_letters(text or ""), text or "")
+
+
+def nats_of(table: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    """Tempered log likelihoods by language, the best 0; `table` has a row for each folded hash."""
+    s = table[grams].sum(axis=0, dtype=np.float64) * TEMPER if len(grams) else np.zeros(table.shape[1])
+    return np.maximum(s - s.max(), -MOST_NATS)
 
 
 def fit_trigrams(df: DataFrame, languages: list[str], label_col: str = "lang", text_col: str = "text", sample: int = SAMPLE) -> np.ndarray:
@@ -95,24 +112,27 @@ def fit_trigrams(df: DataFrame, languages: list[str], label_col: str = "lang", t
     return np.log(counts / counts.sum(axis=1, keepdims=True))
 
 
+def table_of(model: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray((model - model.mean(axis=0)).T.astype(np.float32))
+
+
 def with_text_evidence(df: DataFrame, kept: list[str], model: np.ndarray, text_col: str = "text") -> DataFrame:
-    """`kept` columns, the text itself, `nats` array<double> (tempered log likelihoods, best 0) and `letters` double."""
-    shared = df.sparkSession.sparkContext.broadcast(np.ascontiguousarray((model - model.mean(axis=0)).T.astype(np.float32)))
+    """`kept` columns, `__nats` array<double> and `__letters` double."""
+    shared = df.sparkSession.sparkContext.broadcast(table_of(model))
 
     def rows(texts: list[str | None]) -> dict:
         table = shared.value
         nats, letters = [], []
         for t in texts:
-            g = trigrams(t)
-            s = table[g].sum(axis=0, dtype=np.float64) * TEMPER if len(g) else np.zeros(table.shape[1])
-            nats.append(np.maximum(s - s.max(), -MOST_NATS))
-            letters.append(letter_share(t))
-        return {"nats": nats, "letters": letters}
+            c = _letters(f" {t or ''} ")
+            nats.append(nats_of(table, _hashes(c)))
+            letters.append(_share(c, t or ""))
+        return {"__nats": nats, "__letters": letters}
 
-    return over_texts(df, kept, text_col, "nats array<double>, letters double", rows)
+    return over_texts(df, kept, text_col, "__nats array<double>, __letters double", rows)
 
 
-def _posterior(logs: Column) -> Column:
+def posterior(logs: Column) -> Column:
     """exp and normalise."""
     top = F.array_max(logs)
     e = F.transform(logs, lambda x: F.exp(x - top))
@@ -129,15 +149,16 @@ def identify(df: DataFrame, kept: list[str], languages: list[str], text_col: str
     `label_col` names the column that the trigram model is fitted on, where `model` is not given.
     """
     languages = sorted(languages)
+    kept = [c for c in kept if c not in RESULT]
     n = len(languages)
     if model is None:
         model = fit_trigrams(df, languages, label_col, text_col)
     nothing = F.lit(None).cast("string")
     text = text_col if text_col in kept else "__text"
     given = df.select(*kept, *[F.col(text_col).alias(text)] * (text not in kept), F.coalesce(declared if declared is not None else nothing, F.lit("")).alias("__declared"), F.coalesce(suffix if suffix is not None else nothing, F.lit("")).alias("__suffix"), F.coalesce(host if host is not None else nothing, F.lit("")).alias("__host"))
-    evidence = with_text_evidence(given, [*kept, "__declared", "__suffix", "__host"], model, text)
+    evidence = written(with_text_evidence(given, [*kept, "__declared", "__suffix", "__host"], model, text), "evidence")
     # One pass of grouped sums; all levels of the hierarchy come from it.
-    p = evidence.select("__declared", "__suffix", "__host", _posterior(F.col("nats")).alias("p"))
+    p = evidence.select("__declared", "__suffix", "__host", posterior(F.col("__nats")).alias("p"))
     base = written(p.groupBy("__declared", "__suffix", "__host").agg(*_sums(n)), "hosts")
     add = [F.sum(f"s{i}").alias(f"s{i}") for i in range(n)]
     total = base.agg(*add).first()
@@ -152,17 +173,17 @@ def identify(df: DataFrame, kept: list[str], languages: list[str], text_col: str
     top = F.array(*(F.lit(v) for v in prior))
     by_suffix = base.groupBy("__suffix").agg(*add).select("__suffix", F.when(F.col("__suffix") == "", top).otherwise(smoothed(arr, top)).alias("q_suffix"))
     by_host = base.groupBy("__suffix", "__host").agg(*add).select("__suffix", "__host", arr.alias("c"))
-    hosts = by_host.join(by_suffix, "__suffix").select("__suffix", "__host", F.when(F.col("__host") == "", F.col("q_suffix")).otherwise(smoothed(F.col("c"), F.col("q_suffix"))).alias("prior"))
+    hosts = by_host.join(by_suffix, "__suffix").select("__suffix", "__host", F.when(F.col("__host") == "", F.col("q_suffix")).otherwise(smoothed(F.col("c"), F.col("q_suffix"))).alias("__prior"))
     # log P(symbol | language), up to what is equal for all languages: how much a symbol raises a language.
-    decl = base.groupBy("__declared").agg(*add).select("__declared", F.when(F.col("__declared") == "", F.array(*[F.lit(0.0)] * n)).otherwise(F.zip_with(smoothed(arr, top), top, lambda a, b: F.log(a / b))).alias("declared_nats"))
+    decl = base.groupBy("__declared").agg(*add).select("__declared", F.when(F.col("__declared") == "", F.array(*[F.lit(0.0)] * n)).otherwise(F.zip_with(smoothed(arr, top), top, lambda a, b: F.log(a / b))).alias("__declared_nats"))
     hosts, decl = written(hosts, "priors"), written(decl, "declared")
     host_side = F.broadcast(hosts) if hosts.count() <= broadcast_hosts else hosts
     decl_side = F.broadcast(decl) if decl.count() <= broadcast_hosts else decl
     joined = evidence.join(host_side, ["__suffix", "__host"]).join(decl_side, "__declared")
-    logs = F.zip_with(F.zip_with(F.col("nats"), F.col("declared_nats"), lambda a, b: a + b), F.transform("prior", lambda q: F.log(q)), lambda a, b: a + b)
-    done = joined.withColumn("__post", _posterior(logs))
+    logs = F.zip_with(F.zip_with(F.col("__nats"), F.col("__declared_nats"), lambda a, b: a + b), F.transform("__prior", lambda q: F.log(q)), lambda a, b: a + b)
+    done = joined.withColumn("__post", posterior(logs))
     best = F.array_max("__post")
     names = F.array(*map(F.lit, languages))
     pick = lambda a: F.element_at(names, F.array_position(a, F.array_max(a)).cast("int"))
-    accepted = (best >= LEAST_POSTERIOR) & (F.col("letters") >= LEAST_LETTERS)
-    return done.select(*kept, pick(F.col("__post")).alias("language"), best.alias("probability"), accepted.alias("accepted"), pick(F.col("nats")).alias("text_language"))
+    accepted = (best >= LEAST_POSTERIOR) & (F.col("__letters") >= LEAST_LETTERS)
+    return done.select(*kept, pick(F.col("__post")).alias("language"), best.alias("probability"), accepted.alias("accepted"), pick(F.col("__nats")).alias("text_language"))

@@ -115,21 +115,45 @@ select page_id, host, path, case {name} else null end as rule, case {verdict} wh
 
 
 def identify_documents(docs: DataFrame, kept: list[str]) -> DataFrame:
-    """A document's declared language is its `lang`, its host its `source`; it has no address, so no suffix."""
-    return langid.identify(docs, kept, LANGUAGES, declared=F.col("lang"), host=F.col("source"))
+    """By text and host (`source`); documents have no markup and no address. `lang` fits the text model on the rows that are not held out."""
+    model = langid.fit_trigrams(docs.where(~held_out() | F.col("doc_id").isNull()), LANGUAGES)
+    return langid.identify(docs, kept, LANGUAGES, host=F.col("source"), model=model)
 
 
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_documents(read_texts(spark, sf_dir), ["doc_id"])
 
 
+#: What is no text in a page: scripts, styles, comments, tags.
+MARKUP = r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->|<[^>]*>"
+
+
+def page_evidence(pages: DataFrame) -> DataFrame:
+    """page_id, url, text; the language that `<html lang>` declares; the host and its suffix."""
+    html, url = F.coalesce("html", F.lit("")), F.coalesce("url", F.lit(""))
+    declared = F.lower(F.regexp_extract(html, r"(?i)<html\b[^>]*\blang\s*=\s*[\"']?([A-Za-z]{2})", 1))
+    host = F.lower(F.regexp_extract(url, r"://([^/?#]*)", 1))
+    return pages.select("page_id", "url", F.regexp_replace(html, MARKUP, " ").alias("text"), F.nullif(declared, F.lit("")).alias("declared"), F.nullif(host, F.lit("")).alias("host"), F.nullif(F.regexp_extract(host, r"\.([a-z]+)$", 1), F.lit("")).alias("suffix"))
+
+
+def identify_pages(pages: DataFrame, kept: list[str], model) -> DataFrame:
+    """Pages by their text, markup, suffix and host, with the text model of documents."""
+    return langid.identify(page_evidence(pages), kept, LANGUAGES, declared=F.col("declared"), suffix=F.col("suffix"), host=F.col("host"), model=model)
+
+
+def language_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The operator of op9 on `pages`, which have all four kinds of evidence."""
+    docs = read_texts(spark, sf_dir)
+    return identify_pages(read_texts(spark, sf_dir, "pages"), ["page_id"], langid.fit_trigrams(docs.where(~held_out()), LANGUAGES))
+
+
 def op10_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = linededup.dedup_lines(read_texts(spark, sf_dir).select("doc_id", "text"))
     return done.select("doc_id", "text", "n_deleted", "cut")
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality, op2_neighbours, op3_sentencepiece, op4_simhash, op5_chat, op6_packing, op7_imatch, op8_urlfilter, op9_language, op10_linededup)}
+    return {f.__name__: f for f in (op1_quality, op2_neighbours, op3_sentencepiece, op4_simhash, op5_chat, op6_packing, op7_imatch, op8_urlfilter, op9_language, op10_linededup, language_of_pages)}
 
 
 def oracle_sql() -> dict[str, str]:
