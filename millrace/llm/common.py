@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -21,41 +22,50 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def read_texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
-    """A table of texts; rows are dealt out where its files make fewer tasks than there are cores (one row group, say)."""
+    """A table of texts, for a query: batches for Python are kept small, and rows are dealt out where its files make fewer tasks
+
+    than there are cores (one row group, say)."""
+    small_batches(spark)
     df, cores = read_table(spark, sf_dir, name), spark.sparkContext.defaultParallelism
-    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+_LOCAL: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset a local one, for a local master alone."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="millrace-"))
-    return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    if not _LOCAL:
+        _LOCAL.append(tempfile.mkdtemp(prefix="millrace-"))
+    return _LOCAL[0]
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
-    """`df` written as Parquet in the shared folder and read back: it cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/millrace-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    """`df` written as Parquet in the shared folder and read back: it cuts lineage and survives lost executors.
+
+    Its shuffle files go as soon as it is written: nothing else reads them.
+    """
+    spark, clean = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    path, before = f"{shared_dir(spark)}/millrace-{label}-{uuid.uuid4().hex}", spark.conf.get(clean)
+    spark.conf.set(clean, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(clean, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def discard(df: DataFrame) -> None:
-    """Deletes a table made by `written`; only for those that no later plan reads.
-
-    The shuffle files of the plans that made or read it are dead too; Spark deletes those when the driver's JVM has
-    collected the plans, so that is asked for here.
-    """
+    """Deletes a table made by `written`; only for those that no later plan reads."""
     spark = df.sparkSession
     for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    spark._jvm.System.gc()
 
 
 def steps_of(sizes: Iterable[int], limit: int = STEP_CHARS) -> Iterator[tuple[int, int]]:
@@ -79,23 +89,32 @@ BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lowers the session's Arrow batches to what texts need, so that memory follows these bounds. Never raises them."""
+    """Lowers the session's Arrow batches to what texts need, so that memory follows these bounds. Never raises them.
+
+    Batches are the session's, so this is for queries, which own it, to call: operators leave settings alone.
+    """
     rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
     now = int(spark.conf.get(rows))
     if now <= 0 or now > BATCH_ROWS:
         spark.conf.set(rows, BATCH_ROWS)
-    held = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(size))
-    if held <= 0 or held > BATCH_BYTES:
+    if not 0 < size_of(spark.conf.get(size)) <= BATCH_BYTES:
         spark.conf.set(size, f"{BATCH_BYTES}b")
 
 
+def size_of(text: str) -> int:
+    """Bytes of a size as Spark's settings have it: a number, and b, k, m, g or t (kb and so on) after it."""
+    found = re.fullmatch(r"(-?[0-9]+)(?:b|([kmgt])b?)?", text.strip().lower())
+    if not found:
+        raise ValueError(f"not a size: {text}")
+    return int(found[1]) << 10 * " kmgt".index(found[2] or " ")
+
+
 def over_texts(df: DataFrame, kept: list[str], text: str, schema: str, rows: Callable[[list[str | None]], dict[str, Iterable]]) -> DataFrame:
     """Applies `rows` to the texts, step by step; `kept` columns go through unchanged before the new ones of `schema`.
 
     The text may be one of the kept columns; it is then sent once.
     """
 
-    small_batches(df.sparkSession)
     new = _parse_datatype_string(schema)
     out = StructType([*(df.schema[c] for c in kept), *new.fields])
     arrow = to_arrow_schema(out)

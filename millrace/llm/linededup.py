@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
-from .common import discard, small_batches, steps_of, written
+from .common import discard, steps_of, written
 
 MIN_WORDS = 30
 #: One in this many spaces ends a unit, by the bytes before it (`TAIL` of them); sentences and lines always do.
@@ -233,8 +233,6 @@ def _hashed(small: DataFrame) -> DataFrame:
 
 def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> tuple[DataFrame, tuple[DataFrame, ...]]:
     """(id, th, spans): ranges of later repeated units, as array<struct<a, b, x, y>>: units (b inclusive), characters (y exclusive); and the tables it reads."""
-
-    small_batches(df.sparkSession)
     units = written(unit_table(df, id_col, text_col), "units")
     kind = df.schema[id_col]
 

@@ -6,10 +6,11 @@ difference of the sizes, (good - bad) / (good + bad), says which kind it is clos
 labelled texts, turns it into a calibrated probability that the label is 1; the curve also sees how far the text
 compresses at all and how long it is, as the difference means little for short or endlessly repeating texts.
 
-Fitting uses a bounded sample: of each label the `sample` documents with the smallest hash of their id for the
-dictionaries (a slice of `SLICE` characters of each) and as many others, whole, for the curve; of those only the
-figures reach the driver. Everything else runs on all rows. Both dictionaries are trained on all slices of their label;
-where the trainer refuses either (very few labels, or all alike), both are equal starts of all slices instead.
+Fitting uses a bounded sample of rows: of each label the `sample` documents with the smallest hash of their id for the
+dictionaries, of those with at most `LONGEST` characters, and as many others of any length for the curve; of these only the
+figures reach the driver. All are taken whole, and everything else runs on all rows. Both dictionaries are trained on all
+sampled texts of their label, at every size; where the trainer refuses either (very few labels, or all alike), both are equal
+starts of all sampled texts instead.
 
 Nulls and edges: a null text counts as empty; an empty text has difference 0 and gets the curve's value there; labels
 that are null are left out, and of a document labelled twice the mean counts; without both labels among the training
@@ -28,7 +29,8 @@ from pyspark.sql import functions as F
 
 from .common import over_texts, written
 
-SAMPLE, SLICE = 1500, 2000
+#: Documents a label for each of dictionary and curve, and the most characters of one for the dictionary.
+SAMPLE, LONGEST = 1500, 10_000
 DICTIONARY, BLOCK, LEVEL = 65_536, 256, 6
 
 
@@ -108,9 +110,10 @@ def _raw(samples: list[bytes]) -> bytes:
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", train: Column | None = None, sample: int = SAMPLE) -> Model:
     """Learns from the labelled rows that `train` (a condition on the id) admits; all, if it is not given."""
-    ids = docs.select(id_col).where(F.col(id_col).isNotNull()).distinct()
-    known = labels.where(F.col(label_col).isNotNull() & (train if train is not None else F.lit(True)))
-    known = known.groupBy(id_col).agg((F.avg(label_col) >= 0.5).cast("int").alias("__y")).join(ids, id_col)
+    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (train if train is not None else F.lit(True)))
+    known = known.groupBy(id_col).agg((F.avg(label_col) >= 0.5).cast("int").alias("__y"))
+    sizes = docs.select(id_col, F.coalesce(F.length(text_col), F.lit(0)).alias("__n")).join(known, id_col)
+    known = sizes.groupBy(id_col, "__y").agg((F.max("__n") <= LONGEST).alias("__short"))
     known = written(known.withColumn("__h", F.xxhash64(F.col(id_col), F.lit(11))), "labels")
     totals = {r["__y"]: r["count"] for r in known.groupBy("__y").count().collect()}
     share = (totals.get(1, 0) + 1) / (sum(totals.values()) + 2)
@@ -119,15 +122,18 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
     picked = []
     for y in (0, 1):
         n = min(sample, (totals[y] + 1) // 2)
-        rows = known.where(F.col("__y") == y).orderBy("__h", id_col).limit(2 * n).select(id_col, "__h").collect()
-        picked += [(r[0], y, "dictionary" if k % 2 == 0 else "curve", r[1]) for k, r in enumerate(rows)]
+        rows = known.where(F.col("__y") == y).orderBy("__h", id_col).limit(2 * n).select(id_col, "__short").collect()
+        # Short enough ones take turns; those that are too long for a dictionary go to the curve.
+        turn = 0
+        for r in rows:
+            turn += r["__short"]
+            picked.append((r[0], y, "dictionary" if r["__short"] and turn % 2 else "curve"))
     spark = docs.sparkSession
-    chosen = spark.createDataFrame(picked, docs.select(id_col, F.lit(0).alias("__y"), F.lit("").alias("__use"), F.lit(0).cast("long").alias("__h")).schema)
+    chosen = spark.createDataFrame(picked, docs.select(id_col, F.lit(0).alias("__y"), F.lit("").alias("__use")).schema)
     texts = docs.select(id_col, F.coalesce(text_col, F.lit("")).alias("__text")).join(F.broadcast(chosen), id_col)
-    at = F.expr(f"1 + pmod(__h, greatest(1, length(__text) - {SLICE} + 1))").cast("int")
-    slices = texts.where("__use = 'dictionary'").select(id_col, "__y", F.substring(F.col("__text"), at, F.lit(SLICE)).alias("t"))
+    whole = texts.where("__use = 'dictionary'").select(id_col, "__y", F.col("__text").alias("t"))
     by: dict[int, list] = {0: [], 1: []}
-    for r in slices.collect():
+    for r in whole.collect():
         by[r["__y"]].append((r[0], r["t"].encode()))
     good, bad = _dictionaries([[t for _, t in sorted(by[y]) if t] for y in (1, 0)])
     if min(len(good), len(bad)) < 16:

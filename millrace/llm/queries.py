@@ -93,7 +93,7 @@ URL_RULES = [
 
 
 def op8_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urlfilter.judge_urls(read_table(spark, sf_dir, "pages"), URL_RULES + urlfilter.DEFAULT_PATTERNS)
+    return urlfilter.judge_urls(read_texts(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES + urlfilter.DEFAULT_PATTERNS)
 
 
 def op8_sql() -> str:

@@ -2,8 +2,8 @@ r"""URL filters: pattern rules indexed by their rarest literal token.
 
 A rule is a regular expression, plus the literal tokens (runs of letters and digits) that any URL it matches must hold
 as whole tokens. How often each such token occurs is counted over all URLs; a rule is filed under its rarest one. A
-URL's tokens fetch the rules filed under them, and only those rules run their expression. Rules without a token are
-tried on every URL.
+URL's tokens fetch the rules filed under them, and only those rules run their expression. An alternation is a rule for each
+of its words. A rule without a token could be filed nowhere and is refused.
 
 Host rules (`example.org/es/`: that host and its subdomains, and paths that start with the rule's) become such patterns
 over host and path. The longest host rule that fits decides; without one the first pattern rule that matches does
@@ -68,22 +68,20 @@ def token_counts(df: DataFrame, url_col: str, tokens: list[str]) -> dict[str, in
     return {r["token"]: r["count"] for r in kept.groupBy("token").count().collect()}
 
 
-def index(rules: list[Rule], counts: dict[str, int]) -> tuple[dict[str, list[Rule]], list[Rule]]:
-    """Rules by their rarest token (ties to the longer, then the first in order), and those without any."""
+def index(rules: list[Rule], counts: dict[str, int]) -> dict[str, list[Rule]]:
+    """Rules by their rarest token (ties to the longer, then the first in order)."""
     filed: dict[str, list[Rule]] = {}
-    loose = []
     for rule in rules:
-        if rule.tokens:
-            filed.setdefault(min(rule.tokens, key=lambda t: (counts.get(t, 0), -len(t), t)), []).append(rule)
-        else:
-            loose.append(rule)
-    return filed, loose
+        if not rule.tokens:
+            raise ValueError(f"a rule without a literal token: {rule.pattern}")
+        filed.setdefault(min(rule.tokens, key=lambda t: (counts.get(t, 0), -len(t), t)), []).append(rule)
+    return filed
 
 
-def judge(url: str | None, filed: dict[str, list[Rule]], loose: list[Rule], compiled: dict[str, re.Pattern]) -> tuple[str, str, str | None, str]:
+def judge(url: str | None, filed: dict[str, list[Rule]], compiled: dict[str, re.Pattern]) -> tuple[str, str, str | None, str]:
     """(host, path, rule, verdict) of one URL."""
     host, path = split_url(url)
-    candidates = [r for t in tokens_of(url or "") if t in filed for r in filed[t]] + loose
+    candidates = [r for t in tokens_of(url or "") if t in filed for r in filed[t]]
     best, verdicts = None, set()
     place, whole = host + path, (url or "").translate(_ASCII_LOWER)
     for rule in candidates:
@@ -100,27 +98,32 @@ def judge(url: str | None, filed: dict[str, list[Rule]], loose: list[Rule], comp
 def judge_urls(df: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """For each row: id, host, path, rule, verdict."""
     tokens = sorted({t for r in rules for t in r.tokens})
-    filed, loose = index(rules, token_counts(df, url_col, tokens) if tokens else {})
+    filed = index(rules, token_counts(df, url_col, tokens) if tokens else {})
     patterns = sorted({r.pattern for r in rules})
 
     def rows(urls: list[str | None]) -> dict:
         compiled = {p: re.compile(p) for p in patterns}
-        made = [judge(u, filed, loose, compiled) for u in urls]
+        made = [judge(u, filed, compiled) for u in urls]
         return dict(zip(("host", "path", "rule", "verdict"), zip(*made, strict=True), strict=True)) if made else {k: [] for k in ("host", "path", "rule", "verdict")}
 
     return over_texts(df, [id_col], url_col, "host string, path string, rule string, verdict string", rows)
 
 
+def each_of(verdict: str, pattern: str, *words: str) -> list[Rule]:
+    """A rule for each word of an alternation, which stands as `{}` in the pattern: each is then filed under its own token."""
+    return [pattern_rule(verdict, pattern.replace("{}", w), w) for w in words]
+
+
 #: Advertising, tracking and session patterns of the kind that block lists carry; literal tokens name each.
 DEFAULT_PATTERNS = [
-    pattern_rule("block", r"[./]ads?[./]", ),
+    *each_of("block", r"[./]{}[./]", "ad", "ads"),
     pattern_rule("block", r"[/.]banners[/.]", "banners"),
     pattern_rule("block", r"[?&]utm_source=", "utm", "source"),
     pattern_rule("block", r"[?&]sessionid=", "sessionid"),
-    pattern_rule("block", r"/(?:login|signin)(?:[/?#]|$)"),
+    *each_of("block", r"/{}(?:[/?#]|$)", "login", "signin"),
     pattern_rule("block", r"[/.]doubleclick\.", "doubleclick"),
     pattern_rule("block", r"/cgi-bin/", "cgi", "bin"),
     pattern_rule("block", r"[./-]casino[./-]", "casino"),
-    pattern_rule("block", r"\.(?:exe|zip|iso|apk)(?:[?#]|$)"),
+    *each_of("block", r"\.{}(?:[?#]|$)", "exe", "zip", "iso", "apk"),
     pattern_rule("block", r"[?&]replytocom=", "replytocom"),
-]
+]

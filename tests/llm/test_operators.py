@@ -49,10 +49,34 @@ def test_quality(spark, odd):
 
 
 def test_quality_held_out(spark):
+    """Rates and calibration on labels that were not learnt from; and the scores again, in plain Python with the same model."""
     sf = "/root/testdata/sf0.1"
-    got = queries.op1_quality(spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id")
-    rates = {r["quality"]: r["p"] for r in got.groupBy("quality").agg(F.avg("predicted").alias("p")).collect()}
+    got = queries.op1_quality(spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").toPandas()
+    rates = got.groupby("quality")["predicted"].mean()
     assert rates[1] > 0.98 and rates[0] < 0.2
+    assert ((got["score"] - got["quality"]) ** 2).mean() < 0.03
+    for low, high in ((0, 0.2), (0.2, 0.8), (0.8, 1.01)):  # what a score says is about as often so
+        part = got[(got["score"] >= low) & (got["score"] < high)]
+        assert len(part) < 30 or abs(part["score"].mean() - part["quality"].mean()) < 0.15
+    good, bad = got[got["quality"] == 1]["score"].to_numpy(), got[got["quality"] == 0]["score"].to_numpy()
+    assert (good[:, None] > bad).mean() + 0.5 * (good[:, None] == bad).mean() > 0.97
+
+
+def test_quality_scores_equal_plain_python(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = queries.fit_quality(docs, SF)
+    measure = quality.Measure(model.good, model.bad)
+    scored = quality.score(docs, model, ["doc_id", "text"]).collect()
+    assert len(scored) == docs.count()
+    for r in scored:
+        data, sizes = r["text"].encode(), []
+        for c in measure.by:
+            sizes.append(sum(len(c.compress(data[i : i + 256])) for i in range(0, len(data), 256)))
+        n, (a, b) = len(data), sizes
+        d = (a - b) / (a + b) if n else 0.0
+        ratio = np.log(max(min(a, b), 1) / n) if n else -0.7
+        x = np.dot([10 * d, 10 * d * min(1, n / 300), ratio, ratio**2, np.log1p(n) - 7, 1], model.weights)
+        assert abs(r["score"] - 1 / (1 + np.exp(-x))) < 1e-9 and abs(r["difference"] - d) < 1e-12 and r["predicted"] == (r["score"] >= 0.3)
 
 
 def test_neighbours_against_brute_force(spark):

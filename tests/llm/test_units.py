@@ -11,7 +11,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from millrace.llm import ann, chat, langid, linededup, packing, pieces, quality, simhash, urlfilter
+from millrace.llm import ann, chat, common, langid, linededup, packing, pieces, quality, simhash, urlfilter
 
 MODEL = pieces.load_model(open(public_tokenizers.path("piece_bpe_32k.model"), "rb").read())
 LIBRARY = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
@@ -245,9 +245,9 @@ def test_urls():
     import re
 
     compiled = {r.pattern: re.compile(r.pattern) for r in rules}
-    for url in ("http://a.example.org/en/12", "http://example.org/en/2", "http://notexample.org/en/1", "http://example.org", "http://x.com/ads/1", "http://x.com/a?utm_source=b", "http://x.org/ads/", None, ""):
-        filed, loose = urlfilter.index(rules, {"org": 9, "example": 3})
-        host, path, rule, verdict = urlfilter.judge(url, filed, loose, compiled)
+    for url in ("http://a.example.org/en/12", "http://example.org/en/2", "http://notexample.org/en/1", "http://example.org", "http://x.com/ads/1", "http://x.com/a?utm_source=b", "http://x.org/ads/", "http://x.net/a.ZIP", "http://x.net/signin?x", "http://ad.x.net/", "http://x.net/zip", None, ""):
+        filed = urlfilter.index(rules, {"org": 9, "example": 3})
+        host, path, rule, verdict = urlfilter.judge(url, filed, compiled)
         fits = [r for r in rules if r.name and host and (host == (h := r.name.partition("/")[0]) or host.endswith("." + h)) and path.startswith("/" + r.name.partition("/")[2])]
         best = max(fits, key=lambda r: len(r.name), default=None)
         assert rule == (best.name if best else None)
@@ -255,6 +255,26 @@ def test_urls():
         assert verdict == (best.verdict if best else plain)
 
 
+def test_a_rule_without_a_token_is_refused():
+    with pytest.raises(ValueError, match="literal token"):
+        urlfilter.index([urlfilter.pattern_rule("block", "a+")], {})
+
+
+def test_sizes_as_settings_have_them():
+    assert [common.size_of(t) for t in ("7", "16b", "2k", "64MB", "1g", "-1")] == [7, 16, 2048, 64 << 20, 1 << 30, -1]
+
+
+def test_scratch_folders_must_be_shared():
+    class Session:
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: default)})()
+        sparkContext = type("C", (), {"master": "local-cluster[2,1,1024]"})()  # noqa: N815
+
+    with pytest.raises(ValueError, match="share"):
+        common.shared_dir(Session())
+    Session.sparkContext.master = "local[4]"
+    assert "millrace-" in common.shared_dir(Session()) and common.shared_dir(Session()) == common.shared_dir(Session())
+
+
 def test_quality_figures_and_trigrams_of_empty_texts():
     m = quality.Measure(b"good words here and there " * 20, b"!!! %%% &&& " * 40)
     assert m("") == m(None) == (0, 0, 0)
