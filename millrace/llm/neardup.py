@@ -1,8 +1,11 @@
-"""Near-duplicates by word shingles: candidates from MinHash bands, each verified by its exact Jaccard similarity.
+"""Near-duplicates at a similarity: SimHash links first, then what they can't see, each verified by its exact Jaccard similarity.
 
-A text's set holds the hashes of its runs of `words` words (of the whole sequence where it is shorter). Each of `BANDS`
-keys combines `ROWS` minima of the set under different permutations; texts that share a key are candidates. Two sets of
-similarity 0.8 share none of 32 keys of 4 minima with a chance of 5e-8; a pair that is verified is never wrong.
+A text's set holds the hashes of its runs of `words` words (of the whole sequence where it is shorter). Links of `simhash`
+(fingerprints that share pigeonhole blocks and lie within `distance` bits) are verified first; they connect copies and close
+copies. At a similarity of 0.8 two fingerprints of 64 bits differ in about ten bits, and blocks that hold for ten bits have
+no key left to join on, so the other pairs come from sampled minima: each of `BANDS` keys combines `ROWS` minima of the set
+under different permutations, and texts that share a key and are still apart are candidates. Two sets of similarity 0.8 share
+none of 32 keys of 4 minima with a chance of 5e-8; a pair that is verified is never wrong.
 
 Links are needed only as far as they connect, so the texts of a bucket are first checked against its first and its last
 alone, which connects a cluster of close copies however large; then all its pairs that are still apart are checked, those
@@ -18,8 +21,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import over_texts, written
-from .simhash import components, named, shingle_hashes, stay
+from . import simhash
+from .common import discard, over_texts, written
+from .simhash import components, majority, named, shingle_hashes, stay
 
 BANDS, ROWS = 32, 4
 #: Hashes that are permuted at once.
@@ -39,13 +43,14 @@ def keys_of(hashes: np.ndarray) -> np.ndarray:
 
 
 def sketches(df: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(id, fp, n, keys): for each row a hash of its text, the size of its set and the keys."""
+    """(id, fp, sim, n, keys): for each row a hash of its text, its SimHash fingerprint, the size of its set and the keys."""
 
     def rows(texts: list[str | None]) -> dict:
-        sets = [np.unique(shingle_hashes(t, words)) for t in texts]
-        return {"n": [len(s) for s in sets], "keys": [keys_of(s).view(np.int64) for s in sets]}
+        runs = [shingle_hashes(t, words) for t in texts]
+        sets = [np.unique(r) for r in runs]
+        return {"sim": majority(runs).view(np.int64), "n": [len(s) for s in sets], "keys": [keys_of(s).view(np.int64) for s in sets]}
 
-    return over_texts(_texts(df, id_col, text_col), [id_col, "fp"], "__text", "n long, keys array<long>", rows)
+    return over_texts(_texts(df, id_col, text_col), [id_col, "fp"], "__text", "sim long, n long, keys array<long>", rows)
 
 
 def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -67,26 +72,48 @@ def similar(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
     return both.where(F.col("common") * (100 + percent) >= F.col("total") * percent).select("a", "b")
 
 
-def links(prints: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def simhash_pairs(nodes: DataFrame, distance: int) -> DataFrame:
+    """(a, b): texts (fp, sim) of one fingerprint, each with the smallest of them, and those of linked fingerprints."""
+    least = written(nodes.groupBy("sim").agg(F.min("fp").alias("least")), "fingerprints")
+    same = nodes.join(least, "sim").select(F.col("fp").alias("x"), F.col("least").alias("y"))
+    near = simhash.links(least.select(F.col("sim").alias("fp")), distance)
+    of = lambda side, name: least.select(F.col("sim").alias(side), F.col("least").alias(name))
+    return _ends(same.union(near.join(of("a", "x"), "a").join(of("b", "y"), "b").select("x", "y")))
+
+
+def links(prints: DataFrame, texts: DataFrame, words: int, percent: int, distance: int = 4) -> DataFrame:
     """(a, b): verified links between the hashes of texts that connect all that candidates connect."""
-    nodes = prints.groupBy("fp").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
-    keyed = nodes.select("fp", "n", F.explode("keys").alias("key"))
-    leads = keyed.groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low <> high")
-    met = written(keyed.join(leads, "key"), "met")
-    first = met.select("fp", F.explode(F.array("low", "high")).alias("other")).where("other <> fp")
-    first = written(first.select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b")).distinct(), "pairs")
-    found = written(similar(first, texts, words, percent), "links")
-
-    roots = components(found)
-    apart = met.select("key", "fp", "n").join(roots, F.col("fp") == F.col("node"), "left").select("key", "fp", "n", F.coalesce("root", "fp").alias("root"))
-    several = apart.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    apart = written(apart.join(several, "key", "left_semi"), "apart")
-    a, b = (apart.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("fp", "n", "root"))) for s in "ab")
-    close = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
-    rest = a.join(b, "key").where((F.col("fp_a") < F.col("fp_b")) & (F.col("root_a") != F.col("root_b")) & close)
-    rest = rest.select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")).distinct()
-    rest = written(rest.join(first, ["a", "b"], "left_anti"), "pairs")
-    return found if rest.isEmpty() else written(found.union(similar(rest, texts, words, percent)), "links")
+    nodes = written(prints.groupBy("fp").agg(F.first("sim").alias("sim"), F.first("n").alias("n"), F.first("keys").alias("keys")), "nodes")
+    close = written(simhash_pairs(nodes.select("fp", "sim"), distance), "pairs")
+    found = written(similar(close, texts, words, percent), "links")
+
+    def rooted(of: DataFrame) -> DataFrame:
+        """With the group (root) that the links so far give each text."""
+        return of.join(components(found), F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp")).drop("node")
+
+    def apart(of: DataFrame) -> DataFrame:
+        """The rows whose key joins several groups."""
+        several = of.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+        return written(of.join(several, "key", "left_semi"), "apart")
+
+    met = apart(rooted(nodes).select("fp", "n", "root", F.explode("keys").alias("key")))
+    discard(nodes)
+    leads = met.groupBy("key").agg(F.min(F.struct("fp", "root")).alias("low"), F.max(F.struct("fp", "root")).alias("high"))
+    first = met.join(leads, "key").select("fp", "root", F.explode(F.array("low", "high")).alias("other")).where("other.root <> root")
+    first = written(_ends(first.select(F.col("fp").alias("x"), F.col("other.fp").alias("y"))).join(close, ["a", "b"], "left_anti"), "pairs")
+    found = written(found.union(similar(first, texts, words, percent)), "links")
+
+    rest = apart(rooted(met.drop("root")))
+    a, b = (rest.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("fp", "n", "root"))) for s in "ab")
+    sized = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
+    pairs = a.join(b, "key").where((F.col("fp_a") < F.col("fp_b")) & (F.col("root_a") != F.col("root_b")) & sized)
+    pairs = pairs.select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")).distinct()
+    pairs = written(pairs.join(first, ["a", "b"], "left_anti").join(close, ["a", "b"], "left_anti"), "pairs")
+    return found if pairs.isEmpty() else written(found.union(similar(pairs, texts, words, percent)), "links")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
