@@ -37,7 +37,7 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 from .common import discard, steps_of, written
 
 MIN_WORDS = 30
-#: One in this many spaces ends a unit, by the bytes before it (`TAIL` of them); sentences and lines always do.
+#: One in this many spaces ends a unit, by the bytes before it (`TAIL` of them, one 64-bit number); sentences and lines always do.
 CUT_ONE_IN, TAIL = 4, 8
 #: Words of the runs of units whose hashes are winnowed: single units are often one common word, which tells nothing.
 GRAM_WORDS = 8
@@ -46,6 +46,7 @@ WHOLE = (1 << 31) - 1
 _BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
+_STOPS = np.isin(np.arange(256), np.frombuffer(b".!?", np.uint8))
 
 
 def cut_units(data: np.ndarray, ends: np.ndarray, one_in: int = CUT_ONE_IN) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -55,23 +56,23 @@ def cut_units(data: np.ndarray, ends: np.ndarray, one_in: int = CUT_ONE_IN) -> t
         none = np.empty(0, np.int64)
         return none, none, none, np.zeros(len(ends), np.int64)
     at = np.flatnonzero(data == 32)
-    room = at - starts[np.searchsorted(ends, at, side="right")]
-    tail = np.zeros(len(at), np.uint64)
-    for k in range(1, TAIL + 1):  # the bytes before the space; `room` keeps them within the text
-        tail = (tail << np.uint64(8)) | data[np.maximum(at - k, 0)]
+    room = at - np.repeat(starts, np.diff(np.searchsorted(at, ends), prepend=0))
+    # The bytes before the space as one number, the last on top; `room` keeps them within the text.
+    padded = np.concatenate((np.zeros(TAIL, np.uint8), data))
+    tail = np.ndarray(len(data) + 1, "<u8", padded, strides=1)[at]
     mixed = (tail * np.uint64(_BASE)) >> np.uint64(40)
     chosen = (room >= TAIL) & (mixed % np.uint64(one_in) == 0)
-    stop = (room >= 1) & np.isin(data[np.maximum(at - 1, 0)], np.frombuffer(b".!?", np.uint8))
+    stop = (room >= 1) & _STOPS[(tail >> np.uint64(56)).astype(np.uint8)]
     is_start = np.zeros(len(data) + 1, bool)
     is_start[starts] = True
     is_start[at[chosen | stop] + 1] = True
-    is_start[np.flatnonzero(data == 10) + 1] = True
+    is_start[1:] |= data == 10
     begin = np.flatnonzero(is_start[:-1])
     ink = (data != 32) & ((data < 9) | (data > 13))
     first = ink.copy()
     first[1:] &= ~ink[:-1] | is_start[1:-1]
-    words = np.add.reduceat(first, begin, dtype=np.int64)
-    chars = np.add.reduceat((data & 0xC0) != 0x80, begin, dtype=np.int64)
+    words = np.add.reduceat(first, begin, dtype=np.int32).astype(np.int64)
+    chars = np.add.reduceat((data & 0xC0) != 0x80, begin, dtype=np.int32).astype(np.int64)
     per_text = np.searchsorted(begin, ends) - np.searchsorted(begin, starts)
     return begin, words, chars, per_text
 
@@ -127,32 +128,35 @@ def windows(hashes: np.ndarray, words: np.ndarray, doc_ends: np.ndarray, min_wor
     if not n:
         return empty, empty, empty, np.empty(0, np.uint64)
     total = np.concatenate(([0], np.cumsum(words)))
-    end = np.searchsorted(total, total[:-1] + min_words, side="left") - 1
+    below = np.concatenate(([0], np.cumsum(np.bincount(total))))  # entries of `total` below each number of words
+    end = below[np.minimum(total[:-1] + min_words, len(below) - 1)] - 1
     sizes = np.diff(np.concatenate(([0], doc_ends)))
     last = np.repeat(doc_ends, sizes) - 1
     start = np.flatnonzero((end <= last) & (words > 0))  # a window starts and ends with a word
     end = end[start]
-    before = np.searchsorted(total, total[1:] - min_words, side="right") - 1
+    before = below[np.maximum(total[1:] - min_words + 1, 0)] - 1
     up_to = np.flatnonzero((before >= np.repeat(doc_ends - sizes, sizes)) & (words > 0))
-    both = np.unique(np.concatenate((start * n + end, before[up_to] * n + up_to)))
+    both = np.concatenate((start * n + end, before[up_to] * n + up_to))
+    both.sort(kind="stable")  # two ascending runs, so this merges them
+    both = both[np.diff(both, prepend=-1) > 0]
     start, end = both // n, both % n
     content = contents(hashes, start, end)
     prints, until = (hashes, end) if runs is None else (runs[0], np.searchsorted(runs[1], end, side="right") - 1)
     length = until - start + 1
     # Rightmost minimum of each window: two overlapping ranges whose length is a power of two.
     selected = np.zeros(len(start), np.int64)
-    best = np.arange(n)
+    best, least = np.arange(n), prints  # where the minimum of the `width` prints from each unit on is, and what it is
     level, width = 0, 1
     log = np.frexp(length.astype(np.float64))[1] - 1
+    top = log.max(initial=0)
     while True:
         k = np.flatnonzero(log == level)
-        a, b = best[start[k]], best[until[k] - width + 1]
-        selected[k] = np.where(prints[b] <= prints[a], b, a)
-        if not (log > level).any():
+        a, b = start[k], until[k] - width + 1
+        selected[k] = np.where(least[b] <= least[a], best[b], best[a])
+        if level == top:
             break
-        m = len(best) - width
-        a, b = best[:m], best[width : width + m]
-        best = np.where(prints[b] <= prints[a], b, a)
+        right = least[width:] <= least[:-width]
+        best, least = np.where(right, best[width:], best[:-width]), np.where(right, least[width:], least[:-width])
         level, width = level + 1, 2 * width
     return start, end, selected, content
 
