@@ -227,12 +227,12 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(a, STEP_DOCS)
 
 
-def _hashed(small: DataFrame) -> DataFrame:
-    """The side of a join that has one row for each key: shuffled and hashed at every size, so that the other side, of
+def _merged(small: DataFrame) -> DataFrame:
+    """The side of a join that has one row for each key: merged at every size, so that both sides may spill and the plan
 
-    texts or of many rows, is not sorted, and the plan does not change as the input grows.
+    does not change as the input grows.
     """
-    return small.hint("shuffle_hash")
+    return small.hint("merge")
 
 
 def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> tuple[DataFrame, tuple[DataFrame, ...]]:
@@ -291,24 +291,24 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # Whole reaches first: where one occurs before, so do all windows in it, and none of them is the first of its content.
     prints = written(units.select(id_col, "th", "hashes", "sizes").mapInArrow(select, fp_schema), "prints")
     often = repeated(prints, "often")
-    shared = written(prints.join(_hashed(often), "fp", "left_semi"), "shared")
+    shared = written(prints.join(_merged(often), "fp", "left_semi"), "shared")
     discard(prints)
     discard(often)
     first = firsts(shared, "first-reaches")
-    marked = written(shared.join(_hashed(first), ["fp", "content"], "left").select(*shared.columns, (F.col("first").isNotNull() & later).alias("later")), "reaches")
+    marked = written(shared.join(_merged(first), ["fp", "content"], "left").select(*shared.columns, (F.col("first").isNotNull() & later).alias("later")), "reaches")
     discard(shared)
     discard(first)
     # Then single windows, of those fingerprints that still occur more than once: mostly at the ends of what is shared.
     rest = marked.where(~F.col("later"))
     again = repeated(rest, "again")
-    found = rest.join(_hashed(again), "fp", "left_semi").groupBy(id_col, "th").agg(F.collect_list("pos").alias("found"))
+    found = rest.join(_merged(again), "fp", "left_semi").groupBy(id_col, "th").agg(F.collect_list("pos").alias("found"))
     same = units[id_col].eqNullSafe(F.col("__id")) & (units["th"] == F.col("__th"))
-    near = units.join(_hashed(found.select(F.col(id_col).alias("__id"), F.col("th").alias("__th"), "found")), same).select(id_col, "th", "hashes", "sizes", "found")
+    near = units.join(_merged(found.select(F.col(id_col).alias("__id"), F.col("th").alias("__th"), "found")), same).select(id_col, "th", "hashes", "sizes", "found")
     wins = written(near.mapInArrow(extend, win_schema), "windows")
     discard(again)
     first = firsts(wins, "first")
     span = [id_col, "th", "a", "b", "x", "y"]
-    both = marked.where("later").select(span).union(wins.join(_hashed(first), ["fp", "content"]).where(later).select(span))
+    both = marked.where("later").select(span).union(wins.join(_merged(first), ["fp", "content"]).where(later).select(span))
     spans = both.groupBy(id_col, "th").agg(F.collect_set(F.struct("a", "b", "x", "y")).alias("spans"))
     return spans, (units, marked, wins, first)
 
@@ -345,7 +345,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     for done in read:
         discard(done)
     docs = df.select(*(c for c in df.columns if c not in ("n_deleted", "cut")))
-    joined = docs.join(_hashed(table), docs[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text_col]) == F.col("__th")), "left")
+    joined = docs.join(_merged(table), docs[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text_col]) == F.col("__th")), "left")
     text = F.when(F.col("__kept").isNull(), F.col(text_col)).otherwise(F.concat_ws("", F.transform("__kept", lambda k: F.substring(F.col(text_col), k["a"] + 1, k["n"]))))
     rest = [text.alias(text_col) if c == text_col else F.col(c) for c in docs.columns]
     return joined.select(*rest, F.coalesce("__deleted", F.lit(0)).alias("n_deleted"), F.col("cut"))
