@@ -7,9 +7,11 @@ no key left to join on, so the other pairs come from sampled minima: each of `BA
 under different permutations, and texts that share a key and are still apart are candidates. Two sets of similarity 0.8 share
 none of 32 keys of 4 minima with a chance of 5e-8; a pair that is verified is never wrong.
 
-Links are needed only as far as they connect, so the texts of a bucket are first checked against its first and its last
-alone, which connects a cluster of close copies however large; then all its pairs that are still apart are checked, those
-whose sizes alone rule out the similarity excepted. Buckets full of texts that meet without being similar cost pairs.
+Links are needed only as far as they connect, so a bucket is never paired with itself. Its first `LEADS` texts are checked
+against all of it, which connects a cluster of close copies however large; what is then still apart goes on without these
+leads, with four times as many new ones in each round (`MOST_LEADS` at most), until every bucket is one group or has met all
+its leads. A check is spared where two texts are connected already, their sizes alone rule out the similarity, or an earlier
+bucket has made it. A round writes at most its leads times the texts left; nothing is dropped.
 
 Nulls and edges: a null text counts as empty; texts without words have the same, empty set and are one group; repeated
 rows and null ids as in `simhash`; an empty table gives an empty result.
@@ -18,7 +20,7 @@ rows and null ids as in `simhash`; an empty table gives an empty result.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import simhash
@@ -26,6 +28,8 @@ from .common import discard, over_texts, written
 from .simhash import components, majority, named, shingle_hashes, stay
 
 BANDS, ROWS = 32, 4
+#: Texts of a bucket that all others are checked against: in the first round, and at most in a later one.
+LEADS, MOST_LEADS = 2, 512
 #: Hashes that are permuted at once.
 CHUNK = 2048
 _DRAW = np.random.default_rng(42)
@@ -98,22 +102,29 @@ def links(prints: DataFrame, texts: DataFrame, words: int, percent: int, distanc
     def apart(of: DataFrame) -> DataFrame:
         """The rows whose key joins several groups."""
         several = of.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-        return written(of.join(several, "key", "left_semi"), "apart")
+        return written(of.join(several.hint("merge"), "key", "left_semi"), "apart")
 
-    met = apart(rooted(nodes).select("fp", "n", "root", F.explode("keys").alias("key")))
+    rest, tried, leads = apart(rooted(nodes).select("fp", "n", "root", F.explode("keys").alias("key"))), close, LEADS
     discard(nodes)
-    leads = met.groupBy("key").agg(F.min(F.struct("fp", "root")).alias("low"), F.max(F.struct("fp", "root")).alias("high"))
-    first = met.join(leads, "key").select("fp", "root", F.explode(F.array("low", "high")).alias("other")).where("other.root <> root")
-    first = written(_ends(first.select(F.col("fp").alias("x"), F.col("other.fp").alias("y"))).join(close, ["a", "b"], "left_anti"), "pairs")
-    found = written(found.union(similar(first, texts, words, percent)), "links")
-
-    rest = apart(rooted(met.drop("root")))
-    a, b = (rest.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("fp", "n", "root"))) for s in "ab")
     sized = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
-    pairs = a.join(b, "key").where((F.col("fp_a") < F.col("fp_b")) & (F.col("root_a") != F.col("root_b")) & sized)
-    pairs = pairs.select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")).distinct()
-    pairs = written(pairs.join(first, ["a", "b"], "left_anti").join(close, ["a", "b"], "left_anti"), "pairs")
-    return found if pairs.isEmpty() else written(found.union(similar(pairs, texts, words, percent)), "links")
+    while not rest.isEmpty():
+        # A window limit: of a frequent key each task sends its first `leads` texts alone.
+        at = F.row_number().over(Window.partitionBy("key").orderBy("fp"))
+        heads = written(rest.withColumn("at", at).where(F.col("at") <= leads).drop("at"), "heads")
+        a, b = (of.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("fp", "n", "root"))) for s, of in (("a", heads), ("b", rest)))
+        met = a.join(b, "key").where((F.col("fp_a") < F.col("fp_b")) & (F.col("root_a") != F.col("root_b")) & sized)
+        pairs = _ends(met.select(F.col("fp_a").alias("x"), F.col("fp_b").alias("y")))
+        pairs = written(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        if not pairs.isEmpty():
+            tried = tried.union(pairs)
+            found = written(found.union(similar(pairs, texts, words, percent)), "links")
+        # Leads have met all texts of their keys; those after them may still be apart from each other.
+        done = heads.groupBy("key").agg(F.max("fp").alias("done"))
+        after = rest.join(done.hint("merge"), "key").where("fp > done").select("fp", "n", "key")
+        before, rest, leads = rest, apart(rooted(after)), min(4 * leads, MOST_LEADS)
+        discard(before)
+        discard(heads)
+    return found
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:

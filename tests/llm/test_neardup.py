@@ -56,6 +56,25 @@ def test_groups_equal_all_pairs(spark):
     assert neardup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_texts_that_meet_without_being_similar(spark, monkeypatch):
+    """Variants of one text, most of them too different to be linked, share keys for several rounds of leads."""
+    draw = random.Random(11)
+    base = [f"word{k}" for k in range(120)]
+    rows = []
+    for n in range(70):
+        copy = list(base)
+        for k in draw.sample(range(120), 4):
+            copy[k] = f"own{n}x{k}"
+        rows.append((n, " ".join(copy)))
+    rows += [(70 + n, text.replace("word0 ", "start ").replace("word119", "end")) for n, text in rows[::9]]
+    want, rounds = brute_groups(rows), []
+    told = neardup.similar
+    monkeypatch.setattr(neardup, "similar", lambda *a: (rounds.append(a[0].count()), told(*a))[1])
+    found = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["doc_id"]: r["component_id"] for r in found.collect()} == want
+    assert len(set(want.values())) > 30 and len(rounds) > 3
+
+
 def test_documents_equal_all_pairs(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     want = brute_groups(sorted(map(tuple, docs.collect())))
