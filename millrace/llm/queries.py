@@ -7,8 +7,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, imatch, langid, linededup, packing, pieces, quality, simhash, urlfilter
-from .common import read_table, read_texts
+from . import ann, chat, imatch, langid, licenses, linededup, packing, periodic, pieces, quality, simhash, urlfilter, whitening
+from .common import read_table, read_texts, small_batches
 
 LANGUAGES = ["de", "en", "es", "fr"]
 
@@ -152,9 +152,50 @@ def op10_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "text", "n_deleted", "cut")
 
 
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(periodic.find_runs(read_texts(spark, sf_dir), planted=True))
+
+
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(read_texts(spark, sf_dir), ["doc_id"])
+    base, every = licenses.labels("base"), F.array_sort(F.array_union(licenses.labels("base"), licenses.labels("spans")))
+    starts = F.col("base")["start"]
+    return found.select(
+        "doc_id", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        F.array_join(base, ",").alias("base_labels"), F.array_join(every, ",").alias("labels"), licenses.certainty().alias("score"),
+    )
+
+
+def op12_sql() -> str:
+    """Phrases by positions in the list of words, templates as regular expressions over the words."""
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    places, base = [], []
+    for phrase, label in licenses.PHRASES.items():
+        at = " and ".join(f"l[i + {k}] = '{w}'" for k, w in enumerate(phrase.split()))
+        places.append(f"list_filter(range(1, len(l) + 1), lambda i: {at})")
+        base.append(f"case when len(p{len(places)}) > 0 then '{label}' end")
+    by: dict[str, list[str]] = {}
+    for label, template in licenses.TEMPLATES:
+        by.setdefault(label, []).append(f"regexp_matches(line, '{licenses.regex(template)}')")
+    found = ", ".join(f"case when {' or '.join(c)} then '{label}' end" for label, c in by.items())
+    every = " || ".join(f"p{k + 1}" for k in range(len(places)))
+    return f"""
+with w as (select doc_id, regexp_extract_all({lower}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as l from documents),
+p as (select *, ' ' || array_to_string(l, ' ') || ' ' as line, {", ".join(f"{p} as p{k + 1}" for k, p in enumerate(places))} from w),
+q as (select doc_id, len(l) as n_words, {every} as places, list_filter([{", ".join(base)}], lambda x: x is not null) as base, list_filter([{found}], lambda x: x is not null) as found from p)
+select doc_id, n_words, len(places) as n_base, list_min(places) - 1 as first_word, list_max(places) - 1 as last_word, array_to_string(list_sort(list_distinct(base)), ',') as base_labels,
+array_to_string(list_sort(list_distinct(base || found)), ',') as labels, cast(1 - power(0.5, len(places) + 2 * len(found)) as double) as score from q"""
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality, op2_neighbours, op3_sentencepiece, op4_simhash, op5_chat, op6_packing, op7_imatch, op8_urlfilter, op9_language, op10_linededup, language_of_pages)}
+    numbered = (op1_quality, op2_neighbours, op3_sentencepiece, op4_simhash, op5_chat, op6_packing, op7_imatch, op8_urlfilter, op9_language, op10_linededup, op11_runs, op12_licenses, op13_whitening)
+    return {f.__name__: f for f in (*numbered, language_of_pages)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat": op5_sql(), "op8_urlfilter": op8_sql()}
+    return {"op5_chat": op5_sql(), "op8_urlfilter": op8_sql(), "op12_licenses": op12_sql()}
