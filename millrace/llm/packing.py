@@ -17,6 +17,7 @@ texts of any length are cut into as many windows as they need; an empty table gi
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -47,15 +48,47 @@ def encoder(ranks_file: bytes, pattern: str):
 
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks_file.splitlines())}
         _ENCODERS[key] = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=ADDED)
-    whole, plain = _ENCODERS[key].encode, _ENCODERS[key].encode_ordinary
+    made = _ENCODERS[key]
 
     def encode(text: str) -> np.ndarray:
-        some = any(t in text for t in ADDED)
-        return np.array(whole(text, allowed_special="all", disallowed_special=()) if some else plain(text), np.uint32)
+        ids: list[int] = []
+        for part in _ADDED.split(text) if any(t in text for t in ADDED) else [text]:
+            if part in ADDED:
+                ids.append(ADDED[part])
+                continue
+            done = 0
+            for a, b in long_spaces(part):
+                # The pattern takes a run of white space up to its last character, which may go with what follows.
+                b -= b < len(part)
+                ids += made.encode_ordinary(part[done:a])
+                ids += made._encode_single_piece(part[a:b].encode())
+                done = b
+            ids += made.encode_ordinary(part[done:] if done else part)
+        return np.array(ids, np.uint32)
 
     return encode
 
 
+#: White space as the tokenizer's pattern has it.
+_SPACES = "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_RUN, _ADDED = re.compile(f"[{_SPACES}]+"), re.compile("(" + "|".join(map(re.escape, ADDED)) + ")")
+#: Every run of white space this long is cut out before encoding: the pattern's search overflows on some 10^6 characters.
+LONG_SPACE = 4096
+
+
+def long_spaces(text: str) -> list[tuple[int, int]]:
+    """Runs of white space, among them all with `LONG_SPACE` characters or more: one in so many characters is looked at."""
+    runs, end = [], 0
+    for k in range(LONG_SPACE - 1, len(text), LONG_SPACE):
+        if k >= end and text[k] in _SPACES:
+            low = max(end, k - LONG_SPACE + 1)
+            start = low + len(text[low:k].rstrip(_SPACES))
+            end = _RUN.match(text, k).end()
+            if end - start >= LONG_SPACE:
+                runs.append((start, end))
+    return runs
+
+
 class Packer:
     """Places pieces in windows; `put` gives (window number, offset)."""
 

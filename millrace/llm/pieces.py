@@ -5,6 +5,8 @@ Words (a run of spaces and what follows it; the model has no piece across such a
 and laid end to end as symbols. Each round finds the best pair of every word by a segmented minimum, merges its
 occurrences from the left at once, and compacts the arrays, until no word has a pair. A merge that makes a pair as good
 as the current one ends its word's round, so that the order is exactly the library's: best score first, then leftmost.
+Where that happens to a word of more than `LONG_WORD` symbols (runs of spaces, whose pieces all have one score, would take
+a round each merge), one pass from the left does all the merges of its round's score in that very order.
 
 Nulls and edges: a null text counts as empty and gives the end id alone; characters the model lacks become byte pieces;
 texts and words of any length are handled whole; repeated rows give equal rows; an empty table gives an empty result.
@@ -25,6 +27,8 @@ SPACE = "▁"
 #: Words kept between steps, and the longest word kept.
 CACHE_WORDS, CACHE_LENGTH = 300_000, 48
 NONE = np.int64(1 << 40)
+#: Symbols of a word from which on a round that would end early is done in one pass from the left.
+LONG_WORD = 32
 #: Piece types of the model's format.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -69,6 +73,8 @@ class Model:
 
     def __post_init__(self):
         self.cache: dict[str, str] = {}
+        self.pairs = dict(zip(self.pair_keys.tolist(), self.pair_merged.tolist(), strict=True))
+        self.ranks = self.rank.tolist()
         kinds = self.kinds.tolist()
         self.surface = [b"" if k == CONTROL else b" \xe2\x81\x87 " if k == UNKNOWN else bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(SPACE, " ").encode() for p, k in zip(self.pieces, kinds, strict=True)]
 
@@ -140,6 +146,37 @@ def _merged(model: Model, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return out
 
 
+def leftmost_pass(model: Model, symbols: list[int], level: int) -> tuple[list[int], list[int]]:
+    """All merges with ranks up to `level`, the best of the word's pairs, and where each symbol left began.
+
+    What is done has no pair of `level` or better left, so the next merge is at its end or, where none is there, further on:
+    best rank first, then leftmost, as the library has it.
+    """
+    get, rank, width, worse = model.pairs.get, model.ranks, model.width, level + 1
+
+    def made(left: int, right: int) -> tuple[int, int]:
+        piece = get(left * width + right) if left >= 0 and right >= 0 else None
+        return (worse, -1) if piece is None else (rank[piece], piece)
+
+    done, begins, k, n = [], [], 0, len(symbols)
+    while k < n:
+        top, begin = symbols[k], k
+        k += 1
+        while True:
+            before, left = made(done[-1], top) if done else (worse, -1)
+            after, right = made(top, symbols[k]) if k < n else (worse, -1)
+            if before <= level and before <= after:
+                done.pop()
+                top, begin = left, begins.pop()
+            elif after <= level:
+                top, k = right, k + 1
+            else:
+                break
+        done.append(top)
+        begins.append(begin)
+    return done, begins
+
+
 def merge_words(model: Model, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(ids, sizes): the ids of all words end to end, and how many each word has. Words are not empty."""
     text = "".join(words)
@@ -203,10 +240,24 @@ def merge_words(model: Model, words: list[str]) -> tuple[np.ndarray, np.ndarray]
             so_far = np.cumsum(early) - early
             base = np.repeat(so_far[begin], np.diff(np.r_[begin, len(w)]))
             ok = so_far == base
+            long = np.unique(w[early & (np.repeat(sizes, sizes)[at] > LONG_WORD)])
+            ok &= ~np.isin(w, long)
             at, new, previous, has_left = at[ok], new[ok], previous[ok], has_left[ok]
             left_makes, right_makes, has_right = left_makes[ok], right_makes[ok], has_right[ok]
             kept = np.ones(n, bool)
             kept[at + 1] = False
+            edges = np.r_[0, np.cumsum(sizes)]
+            words_here = owner[edges[:-1]]
+            for k in np.searchsorted(words_here, long).tolist():
+                a, b = int(edges[k]), int(edges[k + 1])
+                passed, begins = leftmost_pass(model, symbols[a:b].tolist(), int(best[k]))
+                kept[a:b] = False
+                where = a + np.array(begins)
+                kept[where] = True
+                symbols[where] = passed
+                makes[where] = -1
+                pair = np.flatnonzero((symbols[where[:-1]] >= 0) & (symbols[where[1:]] >= 0))
+                makes[where[pair]] = _merged(model, symbols[where[pair]], symbols[where[pair + 1]])
         symbols[at] = new
         makes[at] = right_makes
         k = np.flatnonzero(has_left)
