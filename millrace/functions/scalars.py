@@ -29,10 +29,14 @@ def fn_edit_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.levenshtein("p_brand", "p_type").cast("long").alias("distance"))
 
 
-@query("select * from (values ('Robert', 'R163'), ('Rupert', 'R163'), ('Tymczak', 'T522'), ('Pfister', 'P236'), ('Honeyman', 'H555')) t(name, code)")
+@query("""with w as (select p_partkey, upper(split_part(p_name, ' ', 2)) as name from part),
+t as (select *, translate(name, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '01230127022455012623017202') as c from w),
+u as (select *, c[1] || replace(c[2:], '7', '') as d from t),
+v as (select *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(d, '1+', '1', 'g'), '2+', '2', 'g'), '3+', '3', 'g'), '4+', '4', 'g'), '5+', '5', 'g'), '6+', '6', 'g') as e from u)
+select p_partkey, rpad(name[1] || replace(e[2:], '0', '')[1:3], 4, '0') as code from v""")
 def fn_soundex(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = spark.createDataFrame([(n,) for n in ("Robert", "Rupert", "Tymczak", "Pfister", "Honeyman")], "name string")
-    return names.select("name", F.soundex("name").alias("code"))
+    """The sound of each part's noun."""
+    return table(spark, sf_dir, "part").select("p_partkey", F.soundex(F.element_at(F.split("p_name", " "), 2)).alias("code"))
 
 
 @query("select n_nationkey, md5(n_name) as md, sha1(n_name) as s1, sha256(n_name) as s2 from nation")

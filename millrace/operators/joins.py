@@ -41,12 +41,40 @@ def asof_join(left: DataFrame, right: DataFrame, by: str, at: str, values: list[
     return seen.select("__row", "__last").union(unmatched).select("__row.*", *(F.col(f"__last.{v}").alias(f"asof_{v}") for v in values))
 
 
+def dyadic_cover(low: Column, high: Column) -> Column:
+    """The whole numbers from low to high as an array of cells (level, cell), each 2^level numbers from cell * 2^level on.
+
+    At most two cells a level, so their number follows the logarithm of the width. Empty where low > high.
+    """
+    end = high + 1
+    levels = F.sequence(F.lit(0), F.greatest(F.length(F.bin(F.greatest(high - low, F.lit(0).cast("long")))), F.lit(1)))
+
+    def at(k: Column) -> Column:
+        # The cells of this level that lie within the range are [first, last); those of the next level take whole pairs of them.
+        up, down = F.negate(F.call_function("shiftright", F.negate(low), k)), F.call_function("shiftright", end, k)
+        left = (up % 2 != 0) & (up < down)
+        right = (down % 2 != 0) & (down - 1 >= up + left.cast("long"))
+        cell = lambda c: F.struct(k.alias("level"), c.alias("cell"))
+        return F.array_compact(F.array(F.when(left, cell(up)), F.when(right, cell(down - 1))))
+
+    return F.flatten(F.transform(levels, at))
+
+
 def range_join(left: DataFrame, right: DataFrame, point: Column, low: Column, high: Column, width: float) -> DataFrame:
-    """Rows where low <= point <= high, without a common key: ranges are dealt to buckets of `width` and joined on them."""
-    bucket = lambda c: F.floor(c / F.lit(width)).cast("long")
-    ranged = right.withColumn("__bucket", F.explode(F.sequence(bucket(low), bucket(high))))
-    points = left.withColumn("__bucket", bucket(point))
-    return points.join(ranged, "__bucket").where((point >= low) & (point <= high)).drop("__bucket")
+    """Rows where low <= point <= high, without a common key, for ranges of any width.
+
+    Numbers go to a grid with steps of `width`. A range is cut into dyadic cells, some two for each doubling of its width; a point is
+    in one cell of every level that any range has. A point meets a range in exactly one cell, so no pair comes twice.
+    """
+    most = float(1 << 60)
+    grid = lambda c: F.floor(F.greatest(F.least(c.cast("double") / F.lit(float(width)), F.lit(most)), F.lit(-most))).cast("long")
+    ranged = right.withColumn("__cover", F.explode(F.when(low <= high, dyadic_cover(grid(low), grid(high))))).withColumns({"__level": F.col("__cover.level"), "__cell": F.col("__cover.cell")}).drop("__cover")
+    levels = sorted(r[0] for r in ranged.select("__level").distinct().collect())  # 62 at most
+    if not levels:
+        return left.join(right, F.lit(False))
+    cells = F.array(*(F.struct(F.lit(k).alias("level"), F.shiftright(grid(point), k).alias("cell")) for k in levels))
+    points = left.withColumn("__in", F.explode(F.when(point.isNotNull(), cells))).withColumns({"__level": F.col("__in.level"), "__cell": F.col("__in.cell")}).drop("__in")
+    return points.join(ranged, ["__level", "__cell"]).where((point >= low) & (point <= high)).drop("__level", "__cell")
 
 
 @query("select o_orderkey, c_name from orders join customer on o_custkey = c_custkey where c_acctbal > 5000")
@@ -110,14 +138,14 @@ def join_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.join(lineitem, F.col("l_orderkey") == F.col("o_orderkey"), "left_anti").select("o_orderkey")
 
 
-_NOT_IN = """select 'none' as nulls, p_partkey from part where p_partkey not in (select l_partkey from lineitem where l_quantity > 30)
-union all select 'some' as nulls, p_partkey from part where p_partkey not in (select case when l_linenumber > 1 then l_partkey end from lineitem where l_quantity > 30)
-union all select 'left' as nulls, k as p_partkey from (select nullif(p_partkey, 1) as k from part) where k not in (select l_partkey from lineitem where l_quantity > 30)"""
+_NOT_IN = """select 'none' as nulls, p_partkey from part where p_partkey not in (select l_partkey from lineitem where l_quantity > 47)
+union all select 'some' as nulls, p_partkey from part where p_partkey not in (select case when l_linenumber > 1 then l_partkey end from lineitem where l_quantity > 47)
+union all select 'left' as nulls, k as p_partkey from (select case when p_partkey % 2 = 1 then p_partkey end as k from part) where k not in (select l_partkey from lineitem where l_quantity > 47)"""
 
 
 @query(_NOT_IN)
 def join_null_aware_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """NOT IN: a null among the values leaves no row, a null on the left is no row either."""
+    """NOT IN: a null among the values (`some`) leaves no row, a null on the left is no row either: of `none` only the odd keys are in `left`."""
     register(spark, sf_dir, ("part", "lineitem"))
     return spark.sql(_NOT_IN)
 
@@ -163,6 +191,18 @@ def join_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return range_join(part, r, F.col("p_retailprice"), F.col("low"), F.col("high"), 100.0).select("p_partkey", "k")
 
 
+_WIDE = "select s_suppkey as k, 4000.0 * (s_suppkey % 100) as low, 4000.0 * (s_suppkey % 100) + power(10, s_suppkey % 7) as high from supplier"
+
+
+@query(f"select k, count(*) as n, min(o_orderkey) as first_order, cast(sum(o_orderkey) as bigint) as keys from orders join ({_WIDE}) r on o_totalprice >= low and o_totalprice <= high group by k")
+def join_ranges_of_any_width(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranges from 1 to 10^6 wide, on a grid of cents."""
+    register(spark, sf_dir, ("supplier",))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    met = range_join(orders, spark.sql(_WIDE), F.col("o_totalprice"), F.col("low"), F.col("high"), 0.01)
+    return met.groupBy("k").agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first_order"), F.sum("o_orderkey").alias("keys"))
+
+
 @query("""select a.event_id, b.event_id as asof_seen, round(b.value, 4) as asof_value from (select * from events where event_type = 'purchase') a
 asof left join (select * from events where event_type = 'view') b on a.user_id = b.user_id and a.ts >= b.ts""")
 def join_asof(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -83,9 +83,17 @@ def set_except_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.exceptAll(b)
 
 
-@query("with recursive t(n, f) as (select 1, cast(1 as bigint) union all select n + 1, f * (n + 1) from t where n < 15) select cast(n as integer) as n, f from t")
+_TREE = """with recursive tree(part, depth, cost, path) as (select p_partkey, 0, p_retailprice, cast(p_partkey as varchar(4000)) from part where p_partkey = 0
+union all select p.p_partkey, depth + 1, cost + p.p_retailprice, cast(path || '/' || p.p_partkey as varchar(4000)) from part p join tree on cast(floor(p.p_partkey / 4) as bigint) = tree.part where p.p_partkey > 0)
+select part, depth, round(cost, 2) as cost, path from tree"""
+
+
+@query(_TREE)
 def set_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql("with recursive t(n, f) as (select 1, cast(1 as bigint) union all select n + 1, f * (n + 1) from t where n < 15) select n, f from t")
+    """Parts as a tree in which four are built into one: the depth, path and price of all that each part goes into."""
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")  # the default ends at a million rows
+    register(spark, sf_dir, ("part",))
+    return spark.sql(_TREE)
 
 
 _ABOVE = "select l_orderkey, l_partkey, l_quantity from lineitem a where l_quantity > (select 1.4 * avg(l_quantity) from lineitem b where b.l_partkey = a.l_partkey)"

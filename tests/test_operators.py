@@ -80,10 +80,19 @@ def test_late_rows_are_dropped(spark, tmp_path):
 
 
 def test_dedup_forgets_after_the_delay(spark, tmp_path):
-    rows = [(k, datetime(2024, 1, 1, 0, k % 50), "x") for k in range(50)]
-    spark.createDataFrame(rows + rows[:20], "event_id long, ts timestamp_ntz, event_type string").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
-    once = events.stream(spark, str(tmp_path), delay="1 hour").dropDuplicatesWithinWatermark(["event_id"])
-    assert events.finish(once, "append", "once").count() == 50
+    """An id is dropped when it comes again within the delay, and comes through anew once the watermark has passed it."""
+    at = lambda h, m=0: datetime(2024, 1, 1, h, m)
+    batches = [[(1, at(1)), (1, at(1)), (2, at(1, 5))], [(1, at(1, 30)), (3, at(6))], [(4, at(6, 1))], [(1, at(6, 10)), (2, at(6, 11)), (3, at(6, 12))]]
+    folder = f"{tmp_path}/events.parquet"
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, "event_id long, ts timestamp_ntz").coalesce(1).write.mode("append").parquet(folder)
+        for f in os.listdir(folder):
+            if f.endswith(".parquet") and not os.path.exists(f"{tmp_path}/{f}.seen"):
+                os.utime(f"{folder}/{f}", (1_000_000 + 60 * k, 1_000_000 + 60 * k))
+                open(f"{tmp_path}/{f}.seen", "w").close()
+    once = events.stream(spark, str(tmp_path), delay="1 hour", files_per_batch=1).dropDuplicatesWithinWatermark(["event_id"])
+    got = sorted((r["event_id"], r["ts"].hour) for r in events.finish(once, "append", "once").collect())
+    assert got == [(1, 1), (1, 6), (2, 1), (2, 6), (3, 6), (4, 6)]  # 3 came twice within the delay, 1 and 2 after it
 
 
 def test_state_is_forgotten_in_time():
