@@ -1,3 +1,3 @@
 """Scalar functions by family."""
 
-from . import scalars  # noqa: F401
+from . import markup, masking, scalars  # noqa: F401

@@ -19,7 +19,9 @@ from millrace.session import table
 from millrace.sources.formats import scratch
 
 #: Pivots: the root of the number of candidates, this many at most. More candidates make larger files, cut in blocks.
-MOST_PIVOTS, BLOCK_ROWS, BLOCK_QUERIES = 1024, 8192, 2048
+MOST_PIVOTS, BLOCK_ROWS, BLOCK_QUERIES = 1024, 4096, 1024
+#: Distances that are held at once.
+STEP = 1 << 20
 
 
 def _kept(df: DataFrame, label: str) -> DataFrame:
@@ -33,8 +35,14 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum((a**2).sum(axis=1)[:, None] + (b**2).sum(axis=1) - 2 * (a @ b.T), 0.0))
 
 
+def rounding(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How far `distances` squared may be off: for each row of `a`, against the longest of `b`."""
+    return 1e-13 * ((a**2).sum(axis=1) + (b**2).sum(axis=1).max(initial=0.0))
+
+
 def _matrix(column: pd.Series) -> np.ndarray:
-    return np.array(column.tolist(), np.float64).reshape(len(column), -1)
+    """Vectors as their bytes; those are a quarter of what lists of numbers take in a worker."""
+    return np.frombuffer(b"".join(column.tolist()), np.float64).reshape(len(column), -1)
 
 
 def exact_neighbours(df: DataFrame, asked: Column, id_col: str, vector_col: str, k: int = 10, pivots: int | None = None, block_rows: int = BLOCK_ROWS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
@@ -52,16 +60,17 @@ def exact_neighbours(df: DataFrame, asked: Column, id_col: str, vector_col: str,
         return spark.createDataFrame([], "query_id long, rank int, id long, score double")
     rows = rows.where(F.size("v") == size["dims"]).groupBy("id").agg(F.max(F.struct("v", "asked")).alias("r")).select("id", "r.v", "r.asked")
     chosen = rows.orderBy(F.xxhash64("id", F.lit(5)), "id").limit(pivots or max(1, min(MOST_PIVOTS, round(size["n"] ** 0.5))))
-    shared = spark.sparkContext.broadcast(_matrix(pd.Series([r["v"] for r in chosen.select("v").collect()])))
+    shared = spark.sparkContext.broadcast(np.array([r["v"] for r in chosen.select("v").collect()], np.float64))
 
     def file(batches):
         for pdf in batches:
-            d = distances(_matrix(pdf["v"]), shared.value)
-            pdf["pivot"] = d.argmin(axis=1).astype(np.int32)
-            pdf["far"] = d.min(axis=1)
-            yield pdf
+            for a in range(0, len(pdf), BLOCK_QUERIES):
+                part = pdf.iloc[a : a + BLOCK_QUERIES].copy()
+                x = np.array(part["v"].tolist(), np.float64).reshape(len(part), -1)
+                d = distances(x, shared.value)
+                yield part.assign(v=[r.tobytes() for r in x], pivot=d.argmin(axis=1).astype(np.int32), far=d.min(axis=1))
 
-    filed = _kept(rows.mapInPandas(file, "id long, v array<double>, asked boolean, pivot int, far double"), "filed")
+    filed = _kept(rows.mapInPandas(file, "id long, v binary, asked boolean, pivot int, far double"), "filed")
     held = filed.groupBy("pivot").agg(F.count("*").alias("n"), F.max("far").alias("radius")).collect()  # a row for each pivot
     count, radius = (np.zeros(len(shared.value)) for _ in range(2))
     for r in held:
@@ -71,17 +80,22 @@ def exact_neighbours(df: DataFrame, asked: Column, id_col: str, vector_col: str,
     def meeting(first: bool):
         def run(batches):
             n, r = table_.value
-            for pdf in batches:
-                d = distances(_matrix(pdf["v"]), shared.value)
-                order = np.argsort(d, axis=1, kind="stable")
-                enough = np.cumsum(n[order], axis=1) - n[order] < k + 1  # the nearest pivots, until they hold k others
-                near = np.zeros_like(enough)
-                np.put_along_axis(near, order, enough, axis=1)
-                if not first:
-                    slack = 1e-7 * (1 + d + r)
-                    near = ~near & (d - r - slack <= pdf["bound"].to_numpy()[:, None]) & (n > 0)
-                q, p = np.nonzero(near)
-                yield pd.DataFrame({"q": pdf["id"].to_numpy()[q], "v": pdf["v"].to_numpy()[q], "bound": pdf["bound"].to_numpy()[q], "pivot": p.astype(np.int32)})
+            for whole in batches:
+                for a in range(0, len(whole), BLOCK_QUERIES):
+                    pdf = whole.iloc[a : a + BLOCK_QUERIES]
+                    x = _matrix(pdf["v"])
+                    d = distances(x, shared.value)
+                    order = np.argsort(d, axis=1, kind="stable")
+                    enough = np.cumsum(n[order], axis=1) - n[order] < k + 1  # the nearest pivots, until they hold k others
+                    near = np.zeros_like(enough)
+                    np.put_along_axis(near, order, enough, axis=1)
+                    if not first:
+                        slack = 2 * np.sqrt(rounding(x, shared.value))[:, None] + 1e-9 * (d + r)
+                        near = ~near & (d - r - slack <= pdf["bound"].to_numpy()[:, None]) & (n > 0)
+                    q, p = np.nonzero(near)
+                    for c in range(0, len(q), STEP >> 6):
+                        at = q[c : c + (STEP >> 6)]
+                        yield pd.DataFrame({"q": pdf["id"].to_numpy()[at], "v": pdf["v"].to_numpy()[at], "bound": pdf["bound"].to_numpy()[at], "pivot": p[c : c + (STEP >> 6)].astype(np.int32)})
 
         return run
 
@@ -89,15 +103,18 @@ def exact_neighbours(df: DataFrame, asked: Column, id_col: str, vector_col: str,
         if not len(queries) or not len(candidates):
             return pd.DataFrame({"q": [], "id": [], "score": []})
         q, c, ids = _matrix(queries["v"]), _matrix(candidates["v"]), candidates["id"].to_numpy()
-        d, out = distances(q, c), []
-        for key, row, at, bound in zip(queries["q"], q, d, queries["bound"], strict=True):
-            rough = np.partition(at, k)[k] if len(at) > k + 1 else np.inf
-            near = np.flatnonzero(at <= min(rough, bound) + 1e-7 * (1 + abs(min(rough, bound))))
-            near = near[ids[near] != key]
-            score = np.sqrt(((c[near] - row) ** 2).sum(axis=1))
-            best = np.lexsort((ids[near], score))[:k]
-            out.append(pd.DataFrame({"q": key, "id": ids[near][best], "score": score[best]}))
-        return pd.concat(out)
+        keys, bounds, found = queries["q"].to_numpy(), queries["bound"].to_numpy(), []
+        step = max(1, STEP // len(c))
+        for a in range(0, len(q), step):
+            part = q[a : a + step]
+            for key, row, at, bound, off in zip(keys[a : a + step], part, distances(part, c), bounds[a : a + step], rounding(part, c), strict=True):
+                rough = min(bound, np.partition(at, k)[k] if len(at) > k + 1 else np.inf)
+                near = np.flatnonzero(at**2 <= rough**2 * (1 + 1e-9) + 2 * off)
+                near = near[ids[near] != key]
+                score = np.sqrt(((c[near] - row) ** 2).sum(axis=1))
+                best = np.lexsort((ids[near], score))[:k]
+                found.append((np.full(len(best), key), ids[near][best], score[best]))
+        return pd.DataFrame(dict(zip(("q", "id", "score"), map(np.concatenate, zip(*found, strict=True)), strict=True)))
 
     has = filed.groupBy("pivot").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("cb"))
 
@@ -114,7 +131,7 @@ def exact_neighbours(df: DataFrame, asked: Column, id_col: str, vector_col: str,
     best = Window.partitionBy("q").orderBy("score", "id")
     top = lambda found: found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     queries = filed.where("asked").select("id", "v").withColumn("bound", F.lit(float("inf")))
-    schema = "q long, v array<double>, bound double, pivot int"
+    schema = "q long, v binary, bound double, pivot int"
     near = met(queries.mapInPandas(meeting(True), schema), "near")
     bounds = top(near).where(F.col("rank") == k).select(F.col("q").alias("id"), F.col("score").alias("bound"))
     rest = queries.drop("bound").join(bounds, "id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))

@@ -125,7 +125,7 @@ class Counter(StatefulProcessor):
         self.handle = handle
         self.state = handle.getValueState("totals", "n bigint, total double, until bigint")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         n, total, until = self.state.get() if self.state.exists() else (0, 0.0, 0)
         last = until
         for pdf in rows:
@@ -138,7 +138,7 @@ class Counter(StatefulProcessor):
         self.state.update((n, total, last))
         yield pd.DataFrame({"user_id": [key[0]], "n": [n], "total": [total]})
 
-    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.state.clear()
         return iter(())
 
@@ -148,14 +148,93 @@ class Counter(StatefulProcessor):
 
 @query("select user_id, count(*) as n, round(sum(value), 3) as total from events group by user_id")
 def stream_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at_ms = (F.unix_micros("ts") / 1000).cast("long").alias("at_ms")
+    grouped = stream(spark, sf_dir).select("user_id", "value", "ts", at_ms).groupBy("user_id")
+    out = grouped.transformWithStateInPandas(Counter(), "user_id bigint, n bigint, total double", "Update", "EventTime")
+    done = with_rocksdb(spark, lambda: finish(out, "update", "state"))
+    return done.groupBy("user_id").agg(F.max("n").alias("n"), F.round(F.max_by("total", "n"), 3).alias("total"))
+
+
+def in_batches(spark: SparkSession, sf_dir: str, batches: int = 4, files: int = 4, name: str = "events", at: str = "ts") -> DataFrame:
+    """`name` as a stream of `batches` batches in order of time: ranges of `at` are written one after the other, each as `files` files.
+
+    The file source takes files by their age, so each batch is one range.
+    """
+    rows = table(spark, sf_dir, name)
+    edges = rows.select(F.percentile_approx(F.unix_micros(F.col(at).cast("timestamp")), [k / batches for k in range(1, batches)]).alias("e")).first()["e"] or []
+    folder, micros = scratch(spark, f"{name}-batches"), F.unix_micros(F.col(at).cast("timestamp"))
+    for low, high in zip([None, *edges], [*edges, None], strict=True):
+        part = rows.where((F.lit(True) if low is None else micros > low) & (F.lit(True) if high is None else micros <= high))
+        part.repartition(files).write.mode("append").parquet(folder)
+    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(folder)
+    return source.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, "1 hour")
+
+
+class Sessions(StatefulProcessor):
+    """Open sessions of each user; a session's row comes when its timer ends, `GAP_MS` of event time after its last event."""
+
+    GAP_MS = 30 * 60 * 1000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getListState("open", "first bigint, last bigint, n bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        before = [tuple(r) for r in self.open.get()] if self.open.exists() else []
+        fresh = [(t, t, 1) for pdf in rows for t in pdf["at_us"].tolist()]
+        merged: list[tuple[int, int, int]] = []
+        for first, last, n in sorted(before + fresh):
+            if merged and first - merged[-1][1] < self.GAP_MS * 1000:
+                a, b, m = merged[-1]
+                merged[-1] = (a, max(b, last), m + n)
+            else:
+                merged.append((first, last, n))
+        ends = {self._ends(s) for s in merged}
+        for t in {self._ends(s) for s in before} - ends:
+            self.handle.deleteTimer(t)
+        for t in ends - {self._ends(s) for s in before}:
+            self.handle.registerTimer(t)
+        self.open.put(merged)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        held, now = [tuple(r) for r in self.open.get()], expiredTimerInfo.getExpiryTimeInMs()
+        gone, left = [s for s in held if self._ends(s) <= now], [s for s in held if self._ends(s) > now]
+        if left:
+            self.open.put(left)
+        else:
+            self.open.clear()
+        yield pd.DataFrame({"user_id": [key[0]] * len(gone), "start_us": [s[0] for s in gone], "end_us": [s[1] for s in gone], "n": [s[2] for s in gone]})
+
+    def close(self) -> None:
+        pass
+
+    def _ends(self, session: tuple[int, int, int]) -> int:
+        """In milliseconds, as timers count, up."""
+        return -(-session[1] // 1000) + self.GAP_MS
+
+
+def with_rocksdb(spark: SparkSession, make):
+    """`make()` while the session keeps state in RocksDB, which arbitrary state needs."""
     provider = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(provider)
     spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        at_ms = (F.unix_micros("ts") / 1000).cast("long").alias("at_ms")
-        grouped = stream(spark, sf_dir).select("user_id", "value", "ts", at_ms).groupBy("user_id")
-        out = grouped.transformWithStateInPandas(Counter(), "user_id bigint, n bigint, total double", "Update", "EventTime")
-        done = finish(out, "update", "state")
+        return make()
     finally:
         spark.conf.set(provider, before)
-    return done.groupBy("user_id").agg(F.max("n").alias("n"), F.round(F.max_by("total", "n"), 3).alias("total"))
+
+
+@query(f"""with g as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 30 minute then 0 else 1 end as fresh from events),
+s as (select user_id, ts, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) as k from g)
+select user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') as start, strftime(max(ts), '%Y-%m-%d %H:%M:%S') as "end", count(*) as n from s group by user_id, k having max(ts) + interval 30 minute <= {_MARK}""")
+def stream_session_timers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions in four batches by arbitrary state: every row comes from a timer that ended, in this batch or a later one."""
+    keyed = in_batches(spark, sf_dir).select("user_id", "ts", F.unix_micros("ts").alias("at_us")).groupBy("user_id")
+    out = keyed.transformWithStateInPandas(Sessions(), "user_id bigint, start_us bigint, end_us bigint, n bigint", "Append", "EventTime")
+    done = with_rocksdb(spark, lambda: finish(out, "append", "session-timers"))
+    return done.select("user_id", _text_of_micros("start_us").alias("start"), _text_of_micros("end_us").alias("end"), "n")
+
+
+def _text_of_micros(c: str):
+    return F.date_format(F.timestamp_micros(c), "yyyy-MM-dd HH:mm:ss")

@@ -135,7 +135,7 @@ def test_shared_passages_equal_brute_force(spark):
 
 def test_exact_neighbours_equal_brute_force(spark):
     rng = np.random.default_rng(1)
-    x = np.concatenate((rng.standard_normal((150, 8)), rng.standard_normal((20, 8)).repeat(10, axis=0) + 0.01 * rng.standard_normal((200, 8)), np.zeros((15, 8)), 1000 + rng.standard_normal((3, 8))))
+    x = np.concatenate((rng.standard_normal((150, 8)), rng.standard_normal((20, 8)).repeat(10, axis=0) + 0.01 * rng.standard_normal((200, 8)), np.zeros((15, 8)), 1000 + rng.standard_normal((3, 8)), 1e7 + rng.standard_normal((30, 8))))
     rows = [(k, v.tolist(), 1) for k, v in enumerate(x)]
     bad = [(900, None, 1), (901, [], 1), (902, [1.0], 1), (903, [float("nan")] * 8, 1), (904, [None] * 8, 1), (None, [1.0] * 8, 1), (3, x[3].tolist(), 1)]
     df = spark.createDataFrame(rows + bad, "vec_id long, embedding array<double>, id int").repartition(4)
