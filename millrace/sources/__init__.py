@@ -1,3 +1,3 @@
 """Sources and sinks."""
 
-from . import custom, formats  # noqa: F401
+from . import custom, formats, log  # noqa: F401

@@ -6,9 +6,11 @@ from collections.abc import Iterator
 from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from millrace.catalog import query
+from millrace.session import table
 
 
 class Year(InputPartition):
@@ -44,8 +46,11 @@ class CalendarSource(DataSource):
         return CalendarReader(int(self.options["first"]), int(self.options["last"]))
 
 
-@query("""select strftime(d, '%Y-%m-%d') as day, cast(year(d) as bigint) as year, cast(dayofyear(d) as bigint) as day_of_year
-from (select unnest(generate_series(timestamp '1992-01-01', timestamp '1995-12-31', interval 1 day)) as d)""")
+@query("""select strftime(d, '%Y-%m-%d') as day, cast(dayofyear(d) as bigint) as day_of_year, count(event_id) as n
+from (select unnest(generate_series(timestamp '2024-01-01', timestamp '2024-12-31', interval 1 day)) as d) left join events on date_trunc('day', ts) = d group by d""")
 def source_custom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events by day, days without any too: the calendar comes from the source, a partition a year."""
     spark.dataSource.register(CalendarSource)
-    return spark.read.format("millrace_calendar").option("first", "1992").option("last", "1995").load()
+    days = spark.read.format("millrace_calendar").option("first", "2024").option("last", "2024").load()
+    counts = table(spark, sf_dir, "events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"))
+    return days.join(counts, "day", "left").select("day", "day_of_year", F.coalesce("n", F.lit(0)).alias("n"))
