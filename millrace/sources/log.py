@@ -3,7 +3,8 @@
 A table is a folder: `data` holds Arrow files, `commits` numbered lists of them, with each file's rows and the least and
 greatest value of its columns. A write adds files and then one list, in one rename, so readers see all of it or nothing; an
 aborted write deletes its files. Reading is a partition a file, without those whose values a pushed filter rules out. As a
-stream the offset is the number of the last commit. The folder is any that pyarrow opens and that driver and executors share.
+stream the offset is the number of the last commit. A task that ends after its write was aborted finds a mark and deletes
+what it wrote itself. The folder is any that pyarrow opens and that driver and executors share.
 """
 
 from __future__ import annotations
@@ -19,13 +20,15 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, IsNotNull, LessThan, LessThanOrEqual, WriterCommitMessage
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from millrace.catalog import query
 from millrace.session import table
 from millrace.sources.formats import scratch
 
 NAME = "millrace_log"
+#: A column with the name of a row's file, filled in where a schema has it.
+FILE = "_file"
 _COMPARE = {EqualTo: pc.equal, GreaterThan: pc.greater, GreaterThanOrEqual: pc.greater_equal, LessThan: pc.less, LessThanOrEqual: pc.less_equal}
 
 
@@ -57,6 +60,18 @@ class Folder:
             f.write(json.dumps({"replaces": replaces, "files": added}).encode())
         self.files.move(draft, f"{self.root}/commits/{max(self.versions(), default=0) + 1}.json")
 
+    def abort(self, job: str) -> None:
+        """Leaves a mark for the job's tasks that still run, and deletes what the others wrote."""
+        self.files.create_dir(f"{self.root}/aborted")
+        with self.files.open_output_stream(f"{self.root}/aborted/{job}"):
+            pass
+        for f in self.files.get_file_info(fs.FileSelector(f"{self.root}/data", allow_not_found=True)):
+            if f.base_name.startswith(job):
+                self.discard(f.base_name)
+
+    def aborted(self, job: str) -> bool:
+        return self.files.get_file_info(f"{self.root}/aborted/{job}").type != fs.FileType.NotFound
+
     def discard(self, name: str) -> None:
         if self.files.get_file_info(f"{self.root}/data/{name}").type != fs.FileType.NotFound:
             self.files.delete_file(f"{self.root}/data/{name}")
@@ -94,10 +109,10 @@ class Written(WriterCommitMessage):
 
 class Writer(DataSourceArrowWriter):
     def __init__(self, path: str, replaces: bool):
-        self.path, self.replaces = path, replaces
+        self.path, self.replaces, self.job = path, replaces, uuid.uuid4().hex
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
-        folder, name = Folder(self.path), f"{uuid.uuid4().hex}.arrow"
+        folder, name = Folder(self.path), f"{self.job}-{uuid.uuid4().hex}.arrow"
         folder.files.create_dir(f"{folder.root}/data")
         rows, seen, sink, out = 0, {}, None, None
         try:
@@ -111,6 +126,8 @@ class Writer(DataSourceArrowWriter):
                 return Written(None)
             out.close()
             sink.close()
+            if folder.aborted(self.job):
+                raise RuntimeError("the write was aborted")
             return Written({"name": name, "rows": rows, "bounds": seen})
         except BaseException:  # what a failed task has begun goes, then the failure goes on
             if sink is not None:
@@ -122,14 +139,12 @@ class Writer(DataSourceArrowWriter):
         Folder(self.path).commit([m.file for m in messages if m is not None and m.file], self.replaces)
 
     def abort(self, messages: list[Written | None]) -> None:
-        for m in messages:
-            if m is not None and m.file:
-                Folder(self.path).discard(m.file["name"])
+        Folder(self.path).abort(self.job)
 
 
 class Reader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path, self.held = path, []
+    def __init__(self, path: str, named: bool = False):
+        self.path, self.named, self.held = path, named, []
 
     def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
         """Comparisons of a column with a number or string are done here, by files and by rows; the rest stays with Spark."""
@@ -159,6 +174,8 @@ class Reader(DataSourceReader):
 
     def read(self, partition: OneFile) -> Iterator[pa.RecordBatch]:
         for batch in Folder(self.path).batches(partition.name) if partition.name else ():
+            if self.named:
+                batch = batch.append_column(FILE, pa.array([partition.name] * len(batch), pa.string()))
             for f in self.held:
                 column = batch.column(f.attribute[0])
                 if isinstance(f, IsNotNull):
@@ -201,7 +218,7 @@ class LogSource(DataSource):
         return NAME
 
     def reader(self, schema: StructType) -> Reader:
-        return Reader(self.options["path"])
+        return Reader(self.options["path"], FILE in schema.names)
 
     def writer(self, schema: StructType, overwrite: bool) -> Writer:
         return Writer(self.options["path"], overwrite)
@@ -216,9 +233,13 @@ def write_log(df: DataFrame, path: str, mode: str = "append") -> None:
 
 
 def read_log(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The table's rows. Spark 4.1 keeps what was last pushed into a loaded source, and a plan that pushes nothing would get
+
+    that plan's rows; so every plan pushes one filter at least, that a row has a file."""
     spark.dataSource.register(LogSource)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    return spark.read.format(NAME).schema(schema).option("path", path).load()
+    named = StructType([*schema.fields, StructField(FILE, StringType())])
+    return spark.read.format(NAME).schema(named).option("path", path).load().where(F.col(FILE).isNotNull()).select(*schema.names)
 
 
 @query("select event_id, user_id, round(value, 4) as value from events where value > 150 and event_type = 'purchase' and user_id <= 60")
