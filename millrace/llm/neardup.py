@@ -8,10 +8,13 @@ under different permutations, and texts that share a key and are still apart are
 none of 32 keys of 4 minima with a chance of 5e-8; a pair that is verified is never wrong.
 
 Links are needed only as far as they connect, so a bucket is never paired with itself. Its first `LEADS` texts are checked
-against all of it, which connects a cluster of close copies however large; what is then still apart goes on without these
-leads, with four times as many new ones in each round (`MOST_LEADS` at most), until every bucket is one group or has met all
-its leads. A check is spared where two texts are connected already, their sizes alone rule out the similarity, or an earlier
-bucket has made it. A round writes at most its leads times the texts left; nothing is dropped.
+against all of it, which connects a cluster of close copies however large. What is then still apart, texts that share much
+without being similar (boilerplate), gets other keys, exact ones: of a text's set, in order of how rare its hashes are among
+these texts, the first n - ceil(0.8 n) + 1; two sets of similarity 0.8 have one of them in common, and what many texts share
+comes last. These buckets meet leads in turn, four times as many in each round (`MOST_LEADS` at most), until every one is
+one group or all its texts have been leads. A check is spared where two texts are connected already, their sizes alone rule
+out the similarity, or an earlier bucket has made it. A round writes at most its leads times the texts left; nothing is
+dropped. A lead's set is sent once for each `BLOCK` texts that it meets, not once for each.
 
 Nulls and edges: a null text counts as empty; texts without words have the same, empty set and are one group; repeated
 rows and null ids as in `simhash`; an empty table gives an empty result.
@@ -30,6 +33,8 @@ from .simhash import components, majority, named, shingle_hashes, stay
 BANDS, ROWS = 32, 4
 #: Texts of a bucket that all others are checked against: in the first round, and at most in a later one.
 LEADS, MOST_LEADS = 2, 512
+#: Texts that one copy of a lead's set is checked against.
+BLOCK = 256
 #: Hashes that are permuted at once.
 CHUNK = 2048
 _DRAW = np.random.default_rng(42)
@@ -62,20 +67,37 @@ def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(id_col, F.xxhash64(text).alias("fp"), text.alias("__text"))
 
 
-def similar(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """The rows (a, b) of `pairs` whose texts' sets have a Jaccard similarity of `percent` % at least."""
+def sets_of(texts: DataFrame, ends: DataFrame, words: int) -> DataFrame:
+    """(fp, set): the hashes of the runs of words of the texts that `ends` (fp) names, once each, as a table."""
 
     def rows(found: list[str | None]) -> dict:
         return {"set": [np.unique(shingle_hashes(t, words)).view(np.int64) for t in found]}
 
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    own = texts.join(ends, "fp", "left_semi").select("fp", "__text").dropDuplicates(["fp"])
-    sets = written(over_texts(own, ["fp"], "__text", "set array<long>", rows), "sets")
-    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+    own = texts.join(ends.select("fp").distinct(), "fp", "left_semi").select("fp", "__text").dropDuplicates(["fp"])
+    return written(over_texts(own, ["fp"], "__text", "set array<long>", rows), "sets")
+
+
+def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The rows (a, b) of `pairs` whose texts' sets have a Jaccard similarity of `percent` % at least."""
+    blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    dealt = pairs.join(blocks, "a").withColumn("block", F.pmod(F.xxhash64("b", F.lit(9)), "blocks"))
+    ours = dealt.select("a", "block").distinct().join(sets.toDF("a", "x"), "a")
+    theirs = dealt.select("a", "block", "b").join(sets.toDF("b", "y"), "b")
+    both = theirs.join(ours.hint("merge"), ["a", "block"])
     both = both.select("a", "b", (F.size("x") + F.size("y")).alias("total"), F.size(F.array_intersect("x", "y")).alias("common"))
     return both.where(F.col("common") * (100 + percent) >= F.col("total") * percent).select("a", "b")
 
 
+def rare_keys(sets: DataFrame, percent: int) -> DataFrame:
+    """(fp, n, key): of each set the hashes that one of every similar set must have too, without those no other set has."""
+    each = sets.select("fp", F.size("set").cast("long").alias("n"), F.explode("set").alias("key"))
+    often = each.groupBy("key").agg(F.count("*").alias("c"))
+    by_rarity = Window.partitionBy("fp").orderBy("c", "key")
+    first = F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1
+    ranked = each.join(often, "key").withColumn("at", F.row_number().over(by_rarity))
+    return ranked.where((F.col("at") <= first) & (F.col("c") > 1)).select("fp", "n", "key")
+
+
 def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
@@ -93,7 +115,8 @@ def links(prints: DataFrame, texts: DataFrame, words: int, percent: int, distanc
     """(a, b): verified links between the hashes of texts that connect all that candidates connect."""
     nodes = written(prints.groupBy("fp").agg(F.first("sim").alias("sim"), F.first("n").alias("n"), F.first("keys").alias("keys")), "nodes")
     close = written(simhash_pairs(nodes.select("fp", "sim"), distance), "pairs")
-    found = written(similar(close, texts, words, percent), "links")
+    known = lambda pairs: sets_of(texts, pairs.select(F.explode(F.array("a", "b")).alias("fp")), words)
+    found = written(similar(close, known(close), percent), "links")
 
     def rooted(of: DataFrame) -> DataFrame:
         """With the group (root) that the links so far give each text."""
@@ -104,6 +127,7 @@ def links(prints: DataFrame, texts: DataFrame, words: int, percent: int, distanc
         several = of.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
         return written(of.join(several.hint("merge"), "key", "left_semi"), "apart")
 
+    sets = None
     rest, tried, leads = apart(rooted(nodes).select("fp", "n", "root", F.explode("keys").alias("key"))), close, LEADS
     discard(nodes)
     sized = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
@@ -117,11 +141,17 @@ def links(prints: DataFrame, texts: DataFrame, words: int, percent: int, distanc
         pairs = written(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         if not pairs.isEmpty():
             tried = tried.union(pairs)
-            found = written(found.union(similar(pairs, texts, words, percent)), "links")
+            found = written(found.union(similar(pairs, known(pairs) if sets is None else sets, percent)), "links")
         # Leads have met all texts of their keys; those after them may still be apart from each other.
         done = heads.groupBy("key").agg(F.max("fp").alias("done"))
         after = rest.join(done.hint("merge"), "key").where("fp > done").select("fp", "n", "key")
-        before, rest, leads = rest, apart(rooted(after)), min(4 * leads, MOST_LEADS)
+        before, rest = rest, apart(rooted(after))
+        if sets is None:  # from now on by exact keys
+            sets = sets_of(texts, rest, words)
+            discard(rest)
+            rest = apart(rooted(rare_keys(sets, percent)))
+        else:
+            leads = min(4 * leads, MOST_LEADS)
         discard(before)
         discard(heads)
     return found
