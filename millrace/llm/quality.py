@@ -8,9 +8,9 @@ compresses at all and how long it is, as the difference means little for short o
 
 Fitting uses a bounded sample of rows: of each label the `sample` documents with the smallest hash of their id for the
 dictionaries, of those with at most `LONGEST` characters, and as many others of any length for the curve; of these only the
-figures reach the driver. All are taken whole, and everything else runs on all rows. Both dictionaries are trained on all
-sampled texts of their label, at every size; where the trainer refuses either (very few labels, or all alike), both are equal
-starts of all sampled texts instead.
+figures reach the driver. All are taken whole, and everything else runs on all rows. A dictionary is trained on the sampled texts
+of its label; where the trainer has too little to choose from (it refuses few texts, or texts all alike), nothing is chosen:
+the dictionary is all distinct sampled texts of the label, whole. The curve takes up what sizes that leaves different.
 
 Nulls and edges: a null text counts as empty; an empty text has difference 0 and gets the curve's value there; labels
 that are null are left out, and of a document labelled twice the mean counts; without both labels among the training
@@ -91,21 +91,15 @@ def scores(model: Model, sizes: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(figures(sizes) @ np.array(model.weights), -30, 30)))
 
 
-def _dictionaries(kinds: list[list[bytes]]) -> list[bytes]:
-    """A dictionary of each list of samples: trained on all of them, or raw for every list if one can't be trained."""
-    try:
-        return [zstandard.train_dictionary(DICTIONARY, samples, level=LEVEL).as_bytes() for samples in kinds]
-    except (zstandard.ZstdError, ValueError):  # samples too few or too alike for the trainer
-        return [_raw(samples) for samples in kinds]
-
+def dictionary(samples: list[bytes]) -> bytes:
+    """A dictionary trained on the samples; of samples that the trainer can't choose from all that differ, whole.
 
-def _raw(samples: list[bytes]) -> bytes:
-    """The starts of all samples, as long as they can be for `DICTIONARY` bytes in all; short ones leave room to others."""
-    room, cut = DICTIONARY, {}
-    for left, k in zip(range(len(samples), 0, -1), sorted(range(len(samples)), key=lambda k: len(samples[k])), strict=True):
-        cut[k] = samples[k][: room // left]
-        room -= len(cut[k])
-    return b"".join(cut[k] for k in range(len(samples)))
+    Raw content must have some bytes, so it begins with spaces.
+    """
+    try:
+        return zstandard.train_dictionary(DICTIONARY, samples, level=LEVEL).as_bytes()
+    except (zstandard.ZstdError, ValueError):
+        return b" " * 16 + b"".join(dict.fromkeys(samples))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", train: Column | None = None, sample: int = SAMPLE) -> Model:
@@ -135,9 +129,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
     by: dict[int, list] = {0: [], 1: []}
     for r in whole.collect():
         by[r["__y"]].append((r[0], r["t"].encode()))
-    good, bad = _dictionaries([[t for _, t in sorted(by[y]) if t] for y in (1, 0)])
-    if min(len(good), len(bad)) < 16:
-        return Model(b"", b"", (), share)
+    good, bad = (dictionary([t for _, t in sorted(by[y]) if t]) for y in (1, 0))
     measured = measure(texts.where("__use = 'curve'"), [id_col, "__y"], "__text", good, bad)
     rows = sorted((r[id_col], r["__y"], r["n_bytes"], r["good"], r["bad"]) for r in measured.collect())
     if not {r[1] for r in rows} == {0, 1}:

@@ -62,6 +62,24 @@ def test_quality_held_out(spark):
     assert (good[:, None] > bad).mean() + 0.5 * (good[:, None] == bad).mean() > 0.97
 
 
+def test_quality_with_few_labels(spark):
+    """Four documents a label, too few for the trainer: whole texts are the dictionaries, and scores still tell the labels apart."""
+    import random
+
+    draw = random.Random(3)
+    kinds = {1: [f"good{k}" for k in range(60)], 0: [f"spam{k}!!!" for k in range(60)]}
+    rows = [(k, " ".join(draw.choices(kinds[k % 2], k=150))) for k in range(40)] + [(99, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(16)], "doc_id long, quality int")
+    model = quality.fit(docs, labels)
+    texts = {y: {t for k, t in rows[:16] if k % 2 == y} for y in (0, 1)}
+    for held, y in ((model.good, 1), (model.bad, 0)):  # four whole texts of the label, none cut
+        assert len(held) > 500 and sum(t.encode() in held for t in texts[y]) == 4
+    got = by_id(quality.score(docs, model, ["doc_id"]), "score")
+    assert min(got[k][0] for k in range(17, 40, 2)) > max(got[k][0] for k in range(16, 40, 2))
+    assert quality.dictionary([]) == b" " * 16 and quality.dictionary([b"abc", b"abc", b"d"]) == b" " * 16 + b"abcd"
+
+
 def test_quality_scores_equal_plain_python(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = queries.fit_quality(docs, SF)
