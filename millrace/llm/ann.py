@@ -1,9 +1,11 @@
 """Approximate nearest neighbours by an adaptive dimension scan over inverted lists.
 
 The index: centroids from k-means on a bounded sample (`sample` vectors with the smallest hash), about as many as the root of
-the number of vectors (a quarter of the sample at most), and every vector filed under its nearest centroid. A query probes
+the number of vectors (a quarter of the sample at most, 4,096 by default: lists of more than 17 million vectors grow, and
+are scanned in blocks), and every vector filed under its nearest centroid. A query probes
 the lists with the nearest centroids. How many is measured where it is not given: among `TRIALS` vectors of the sample, the
-fewest lists that hold a share `goal` of their true nearest neighbours in the sample.
+fewest lists that hold a share `goal` of their true nearest neighbours in the sample. Where they hold fewer than k others, a
+query probes further ones until there are as many.
 
 Vectors are rotated by one random orthogonal matrix, so that any part of the coordinates is a fair sample of the whole
 distance, and scanned in column blocks. After d of D columns of a candidate as far as the bound the partial squared distance
@@ -151,7 +153,8 @@ def search(df: DataFrame, is_query, id_col: str = "vec_id", vector_col: str = "e
     few = rows.withColumn("at", F.row_number().over(by_vector)).where(F.col("at") <= k + 1)
     points = written(few.groupBy("key", "v").agg(F.array_sort(F.collect_set("id")).alias("ids")), "points")
     asked = rows.where(is_query(F.col("id"))).select("id", "key", "v").distinct()
-    asked_points = written(asked.select("key", "v").distinct(), "asked")
+    asked = written(asked.withColumn("qid", F.min("id").over(Window.partitionBy("key", "v"))), "asked")
+    asked_points = asked.select("qid", "v").where("id = qid")  # equal vectors are one query, named by its smallest id
 
     held = points.count()
     train = points.orderBy("key", F.element_at("ids", 1)).limit(sample).select("v").collect()
@@ -162,53 +165,61 @@ def search(df: DataFrame, is_query, id_col: str = "vec_id", vector_col: str = "e
     first = min(m, -(-4 * (k + 1) * len(centroids) // held))  # lists whose candidates set the bound
     shared = spark.sparkContext.broadcast(centroids)
 
-    def assign(count: int):
-        def run(batches):
-            for pdf in batches:
-                near = nearest(np.array(pdf["v"].tolist()).reshape(-1, dims), shared.value, count)
-                pdf["list"] = [x.astype(np.int32) for x in near]
-                yield pdf
+    def file(batches):
+        for pdf in batches:
+            yield pdf.assign(list=nearest(np.array(pdf["v"].tolist()).reshape(-1, dims), shared.value, 1)[:, 0].astype(np.int32))
 
-        return run
+    filed = written(points.mapInPandas(file, "key long, v array<double>, ids array<long>, list int"), "lists")
+    held_by = np.zeros(len(centroids), np.int64)
+    for r in filed.groupBy("list").agg(F.sum(F.size("ids")).alias("n")).collect():  # a row a list
+        held_by[r["list"]] = r["n"]
+    sizes = spark.sparkContext.broadcast(held_by)
 
-    filed = written(points.mapInPandas(assign(1), "key long, v array<double>, ids array<long>, list array<int>").withColumn("list", F.col("list")[0]), "lists")
-    probing = written(asked_points.mapInPandas(assign(m), "key long, v array<double>, list array<int>").select("key", "v", F.posexplode("list").alias("place", "list")), "probes")
+    def probe(batches):
+        """The nearest lists: as many as are probed, and further ones until they hold k others."""
+        for pdf in batches:
+            order = nearest(np.array(pdf["v"].tolist()).reshape(-1, dims), shared.value, len(shared.value))
+            before = np.cumsum(sizes.value[order], axis=1) - sizes.value[order]
+            pdf["list"] = [o[(np.arange(len(o)) < m) | (b <= k)].astype(np.int32) for o, b in zip(order, before, strict=True)]
+            yield pdf
+
+    probing = written(asked_points.mapInPandas(probe, "qid long, v array<double>, list array<int>").select("qid", "v", F.posexplode("list").alias("place", "list")), "probes")
 
     def meet(queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(candidates):
-            return pd.DataFrame({"qkey": [], "qv": [], "vec_id": [], "score": [], "read": [], "seen": []})
+            return pd.DataFrame({"qid": [], "vec_id": [], "score": [], "read": [], "seen": []})
         candidates = candidates.sort_values("ids", key=lambda s: s.map(lambda x: x[0]))
         q, c = (np.array(x["v"].tolist()) for x in (queries, candidates))
         ids = candidates["ids"].tolist()
         rows = []
-        for key, vector, (at, far, read) in zip(queries["key"], queries["v"], scan(q, c, q @ turn, c @ turn, k + 1, queries["bound"].to_numpy(), tests), strict=True):
+        for key, (at, far, read) in zip(queries["qid"], scan(q, c, q @ turn, c @ turn, k + 1, queries["bound"].to_numpy(), tests), strict=True):
             near = sorted((d, i) for a, d in zip(at.tolist(), far.tolist(), strict=True) for i in ids[a])[: k + 1]
-            rows.append((key, vector, None, None, read, c.size))  # what was read, found or not
-            rows += [(key, vector, i, d, 0, 0) for d, i in near]
-        return pd.DataFrame(rows, columns=["qkey", "qv", "vec_id", "score", "read", "seen"]).astype({"vec_id": "Int64"})
+            rows.append((key, None, None, read, c.size))  # what was read, found or not
+            rows += [(key, i, d, 0, 0) for d, i in near]
+        return pd.DataFrame(rows, columns=["qid", "vec_id", "score", "read", "seen"]).astype({"vec_id": "Int64"})
 
     def met(asking: DataFrame) -> DataFrame:
         # How many blocks each list has, a table of at most `lists` rows.
         has = filed.groupBy("list").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("c"))
         wanted = asking.groupBy("list").agg(F.ceil(F.count("*") / block_queries).cast("int").alias("q"))
         blocks = F.broadcast(has.join(wanted, "list"))
-        slot = lambda n, seed: F.pmod(F.xxhash64("key", F.lit(seed)), F.col(n)).cast("int")
-        left = asking.join(blocks, "list").withColumn("qb", slot("q", 3)).withColumn("cb", F.explode(F.sequence(F.lit(0), F.col("c") - 1))).select("list", "qb", "cb", "key", "v", "bound")
-        right = filed.join(blocks, "list").withColumn("cb", slot("c", 5)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("q") - 1))).select("list", "qb", "cb", "ids", "v")
+        slot = lambda of, n, seed: F.pmod(F.xxhash64(of, F.lit(seed)), F.col(n)).cast("int")
+        left = asking.join(blocks, "list").withColumn("qb", slot("qid", "q", 3)).withColumn("cb", F.explode(F.sequence(F.lit(0), F.col("c") - 1))).select("list", "qb", "cb", "qid", "v", "bound")
+        right = filed.join(blocks, "list").withColumn("cb", slot("key", "c", 5)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("q") - 1))).select("list", "qb", "cb", "ids", "v")
         keys = ["list", "qb", "cb"]
-        found = left.groupBy(keys).cogroup(right.groupBy(keys)).applyInPandas(meet, "qkey long, qv array<double>, vec_id long, score double, read long, seen long")
+        found = left.groupBy(keys).cogroup(right.groupBy(keys)).applyInPandas(meet, "qid long, vec_id long, score double, read long, seen long")
         return written(found, "met")
 
-    of_query = Window.partitionBy("qkey", "qv")
+    of_query = Window.partitionBy("qid")
     best = of_query.orderBy(F.asc_nulls_last("score"), "vec_id")
     near = met(probing.where(F.col("place") < first).withColumn("bound", F.lit(float("inf"))))
     every = near
-    if first < m:
-        known = near.withColumn("at", F.row_number().over(best)).where(F.col("at") == k + 1).select(F.col("qkey").alias("key"), F.col("qv").alias("v"), F.col("score").alias("bound"))
-        rest = probing.where(F.col("place") >= first).join(known, ["key", "v"], "left")
+    if first < len(centroids):
+        known = near.withColumn("at", F.row_number().over(best)).where(F.col("at") == k + 1).select("qid", F.col("score").alias("bound"))
+        rest = probing.where(F.col("place") >= first).join(known, "qid", "left")
         every = near.union(met(rest.withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))))
     top = every.withColumn("at", F.row_number().over(best)).withColumn("share_read", F.sum("read").over(of_query) / F.sum("seen").over(of_query)).where((F.col("at") <= k + 1) & F.col("vec_id").isNotNull()).drop("at", "read", "seen")
     # Back to the queries' own rows: copies of one vector share what was found; each leaves out itself.
-    each = asked.select(F.col("id").alias("query_id"), F.col("key").alias("qkey"), F.col("v").alias("qv")).join(top, ["qkey", "qv"]).where("vec_id <> query_id")
+    each = asked.select(F.col("id").alias("query_id"), "qid").join(top, "qid").where("vec_id <> query_id")
     ranked = each.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score", "share_read")

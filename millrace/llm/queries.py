@@ -7,6 +7,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.functions.markup import html_texts
+
 from . import ann, chat, imatch, langid, licenses, linededup, packing, periodic, pieces, quality, simhash, urlfilter, whitening
 from .common import read_table, read_texts, small_batches
 
@@ -124,16 +126,13 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_documents(read_texts(spark, sf_dir), ["doc_id"])
 
 
-#: What is no text in a page: scripts, styles, comments, tags.
-MARKUP = r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->|<[^>]*>"
-
-
 def page_evidence(pages: DataFrame) -> DataFrame:
     """page_id, url, text; the language that `<html lang>` declares; the host and its suffix."""
     html, url = F.coalesce("html", F.lit("")), F.coalesce("url", F.lit(""))
     declared = F.lower(F.regexp_extract(html, r"(?i)<html\b[^>]*\blang\s*=\s*[\"']?([A-Za-z]{2})", 1))
     host = F.lower(F.regexp_extract(url, r"://([^/?#]*)", 1))
-    return pages.select("page_id", "url", F.regexp_replace(html, MARKUP, " ").alias("text"), F.nullif(declared, F.lit("")).alias("declared"), F.nullif(host, F.lit("")).alias("host"), F.nullif(F.regexp_extract(host, r"\.([a-z]+)$", 1), F.lit("")).alias("suffix"))
+    told = pages.select("page_id", "url", "html", F.nullif(declared, F.lit("")).alias("declared"), F.nullif(host, F.lit("")).alias("host"), F.nullif(F.regexp_extract(host, r"\.([a-z]+)$", 1), F.lit("")).alias("suffix"))
+    return html_texts(told, ["page_id", "url", "declared", "host", "suffix"])
 
 
 def identify_pages(pages: DataFrame, kept: list[str], model) -> DataFrame:
