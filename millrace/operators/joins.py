@@ -14,12 +14,13 @@ from millrace.catalog import query
 from millrace.session import register, table, tables
 
 
-def asof_join(left: DataFrame, right: DataFrame, by: str, at: str, values: list[str], bucket: Callable[[Column], Column] | None = None) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, by: str, at: str, values: list[str], bucket: Callable[[Column], Column] | None = None, hot_rows: int = 0) -> DataFrame:
     """Each left row with `values` of the last right row of the same `by` at or before it; nulls if there is none.
 
     Both sides are laid in one stream, and the last right row is carried on: one shuffle and sort. `bucket` cuts the stream
     of a key into stretches of time (any function of `at` that never falls as `at` rises), so that a hot key is many
-    tasks; what a stretch starts with comes from a table with one row for each key and stretch. Ties among right rows
+    tasks; what a stretch starts with comes from a table with one row for each key and stretch. With `hot_rows` the rows of each
+    key are counted first, and only keys with more are cut; where there is none, nothing else is read twice. Ties among right rows
     are broken by their values, largest last. Rows with a null key match nothing and stay out of the shuffle.
     """
     named, rows = F.struct(F.col(at).alias("at"), *values), F.struct(*left.columns)
@@ -27,6 +28,10 @@ def asof_join(left: DataFrame, right: DataFrame, by: str, at: str, values: list[
     empty = F.lit(None).cast(right.select(named.alias("v")).schema["v"].dataType)
     no_row = F.lit(None).cast(left.select(rows.alias("r")).schema["r"].dataType)
     part = bucket(F.col(at)) if bucket else F.lit(0)
+    if bucket and hot_rows:
+        rows_of = known(left).select(by).union(known(right).select(by)).groupBy(by).count()
+        hot = [r[0] for r in rows_of.where(F.col("count") > hot_rows).collect()]  # one in `hot_rows` rows at most
+        bucket, part = (bucket, F.when(F.col(by).isin(hot), part)) if hot else (None, F.lit(0))
     ours = known(left).select(by, part.alias("__part"), F.lit(2).alias("__side"), F.col(at).alias("__at"), rows.alias("__row"), empty.alias("__value"))
     theirs = known(right).where(F.col(at).isNotNull()).select(by, part.alias("__part"), F.lit(1).alias("__side"), F.col(at).alias("__at"), no_row.alias("__row"), named.alias("__value"))
     stream = ours.unionByName(theirs)
@@ -209,7 +214,7 @@ def join_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
     left = events.where("event_type = 'purchase'").select("event_id", "user_id", "ts")
     right = events.where("event_type = 'view'").select("user_id", "ts", F.col("event_id").alias("seen"), "value")
-    found = asof_join(left, right, "user_id", "ts", ["seen", "value"], lambda at: at.cast("date"))
+    found = asof_join(left, right, "user_id", "ts", ["seen", "value"], lambda at: at.cast("date"), hot_rows=1_000_000)
     return found.select("event_id", "asof_seen", F.round("asof_value", 4).alias("asof_value"))
 
 

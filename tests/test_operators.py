@@ -14,15 +14,16 @@ from millrace.streaming import events
 SF = "/root/testdata/sf0.001"
 
 
+@pytest.mark.parametrize("hot_rows", [0, 3, 100])
 @pytest.mark.parametrize("bucket", [None, lambda at: F.floor(F.minute(at) / 2), lambda at: F.minute(at)])
-def test_asof_join_nulls_ties_and_empty(spark, bucket):
+def test_asof_join_nulls_ties_and_empty(spark, bucket, hot_rows):
     t = lambda m: datetime(2024, 1, 1, 0, m)
     left = spark.createDataFrame([(1, t(5), "a"), (1, t(0), "b"), (None, t(9), "c"), (2, t(3), "d"), (1, t(40), "e")], "k int, at timestamp, name string")
     right = spark.createDataFrame([(1, t(1), 10), (1, t(5), 20), (1, t(5), 30), (None, t(1), 40), (2, t(4), 50), (1, None, 60)], "k int, at timestamp, v int")
-    got = {r["name"]: r["asof_v"] for r in asof_join(left, right, "k", "at", ["v"], bucket).collect()}
+    got = {r["name"]: r["asof_v"] for r in asof_join(left, right, "k", "at", ["v"], bucket, hot_rows).collect()}
     assert got == {"a": 30, "b": None, "c": None, "d": None, "e": 30}
-    assert [r["asof_v"] for r in asof_join(left, right.limit(0), "k", "at", ["v"], bucket).collect()] == [None] * 5
-    assert asof_join(left.limit(0), right, "k", "at", ["v"], bucket).count() == 0
+    assert [r["asof_v"] for r in asof_join(left, right.limit(0), "k", "at", ["v"], bucket, hot_rows).collect()] == [None] * 5
+    assert asof_join(left.limit(0), right, "k", "at", ["v"], bucket, hot_rows).count() == 0
 
 
 def test_asof_join_keeps_null_keys_out_of_the_shuffle(spark):
