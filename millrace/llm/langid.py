@@ -5,7 +5,8 @@ trigrams are not independent), the language its markup declares, its address's s
 suffixes are likelihoods of one symbol each, learnt by counting them against the texts' languages and smoothed. The
 host's prior is smoothed hierarchically: all documents, then the suffix, then the host, each level a Dirichlet prior
 with `strength` pseudo-documents for the one below; all counts are sums of text posteriors by grouped aggregation over
-all documents, so a host of any size is summed on the map side.
+all documents, so a host of any size is summed on the map side. A row's own text is taken out of the counts that serve it
+(leave one out), so that it is evidence once.
 
 The language that a row is labelled with, where it is, serves to fit the trigram model only and is no evidence. Every text
 is cut into trigrams once: what it says is written before it is summed for the priors and joined with them.
@@ -162,26 +163,36 @@ def identify(df: DataFrame, kept: list[str], languages: list[str], text_col: str
     base = written(p.groupBy("__declared", "__suffix", "__host").agg(*_sums(n)), "hosts")
     add = [F.sum(f"s{i}").alias(f"s{i}") for i in range(n)]
     total = base.agg(*add).first()
-    all_sum = sum(total[i] or 0.0 for i in range(n)) or 1.0
-    prior = [((total[i] or 0.0) + 1.0) / (all_sum + n) for i in range(n)]
-
-    def smoothed(counts: Column, above: Column) -> Column:
-        mass = F.aggregate(counts, F.lit(0.0), lambda a, b: a + b)
-        return F.zip_with(counts, above, lambda c, q: (c + strength * q) / (mass + strength))
-
     arr = F.array(*(F.col(f"s{i}") for i in range(n)))
-    top = F.array(*(F.lit(v) for v in prior))
-    by_suffix = base.groupBy("__suffix").agg(*add).select("__suffix", F.when(F.col("__suffix") == "", top).otherwise(smoothed(arr, top)).alias("q_suffix"))
-    by_host = base.groupBy("__suffix", "__host").agg(*add).select("__suffix", "__host", arr.alias("c"))
-    hosts = by_host.join(by_suffix, "__suffix").select("__suffix", "__host", F.when(F.col("__host") == "", F.col("q_suffix")).otherwise(smoothed(F.col("c"), F.col("q_suffix"))).alias("__prior"))
-    # log P(symbol | language), up to what is equal for all languages: how much a symbol raises a language.
-    decl = base.groupBy("__declared").agg(*add).select("__declared", F.when(F.col("__declared") == "", F.array(*[F.lit(0.0)] * n)).otherwise(F.zip_with(smoothed(arr, top), top, lambda a, b: F.log(a / b))).alias("__declared_nats"))
+    by_suffix = base.groupBy("__suffix").agg(*add).select("__suffix", arr.alias("__of_suffix"))
+    hosts = base.groupBy("__suffix", "__host").agg(*add).select("__suffix", "__host", arr.alias("__of_host")).join(by_suffix, "__suffix")
+    decl = base.groupBy("__declared").agg(*add).select("__declared", arr.alias("__of_declared"))
     hosts, decl = written(hosts, "priors"), written(decl, "declared")
     host_side = F.broadcast(hosts) if hosts.count() <= broadcast_hosts else hosts
     decl_side = F.broadcast(decl) if decl.count() <= broadcast_hosts else decl
     joined = evidence.join(host_side, ["__suffix", "__host"]).join(decl_side, "__declared")
+
+    def others(counts: Column) -> Column:
+        """Without the row's own text; never below 0 by rounding."""
+        return F.zip_with(counts, "__own", lambda c, p: F.greatest(c - p, F.lit(0.0)))
+
+    def smoothed(counts: Column, above: str) -> Column:
+        """Of the others' counts, with `strength` pseudo-documents as the level above has them."""
+        left = others(counts)
+        mass = F.aggregate(left, F.lit(0.0), lambda a, b: a + b)
+        return F.zip_with(left, above, lambda c, q: (c + strength * q) / (mass + strength))
+
+    # Each level is a column of its own, so that it is computed once.
+    every = F.array(*(F.lit(float(total[i] or 0.0)) for i in range(n)))
+    levels = joined.withColumn("__own", posterior(F.col("__nats"))).withColumn("__all", others(every))
+    levels = levels.withColumn("__top", F.transform("__all", lambda c: (c + 1.0) / (F.aggregate("__all", F.lit(0.0), lambda a, b: a + b) + n)))
+    levels = levels.withColumn("__by_suffix", F.when(F.col("__suffix") == "", F.col("__top")).otherwise(smoothed(F.col("__of_suffix"), "__top")))
+    levels = levels.withColumn("__prior", F.when(F.col("__host") == "", F.col("__by_suffix")).otherwise(smoothed(F.col("__of_host"), "__by_suffix")))
+    # log P(symbol | language), up to what is equal for all languages: how much a symbol raises a language.
+    raised = F.zip_with(smoothed(F.col("__of_declared"), "__top"), "__top", lambda a, b: F.log(a / b))
+    levels = levels.withColumn("__declared_nats", F.when(F.col("__declared") == "", F.array(*[F.lit(0.0)] * n)).otherwise(raised))
     logs = F.zip_with(F.zip_with(F.col("__nats"), F.col("__declared_nats"), lambda a, b: a + b), F.transform("__prior", lambda q: F.log(q)), lambda a, b: a + b)
-    done = joined.withColumn("__post", posterior(logs))
+    done = levels.withColumn("__post", posterior(logs))
     best = F.array_max("__post")
     names = F.array(*map(F.lit, languages))
     pick = lambda a: F.element_at(names, F.array_position(a, F.array_max(a)).cast("int"))

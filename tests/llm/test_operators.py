@@ -360,13 +360,14 @@ def test_language_posterior_equals_plain_python(spark):
     smooth = lambda c, q: (c + langid.STRENGTH * q) / (c.sum() + langid.STRENGTH)
     of = lambda *cols: {key: sum(soft(v) for v, r in zip(nats, rows, strict=True) if tuple(r[c] for c in cols) == key) for key in {tuple(r[c] for c in cols) for r in rows}}
     every = sum(map(soft, nats))
-    top = (every + 1) / (every.sum() + len(langs))
     by_decl, by_suffix, by_host = of(2), of(4), of(4, 3)
     want = {}
     for v, (k, _, decl, host, suffix) in zip(nats, rows, strict=True):
-        above = top if suffix is None else smooth(by_suffix[(suffix,)], top)
-        prior = above if host is None else smooth(by_host[(suffix, host)], above)
-        said = np.zeros(3) if decl is None else np.log(smooth(by_decl[(decl,)], top) / top)
+        own = soft(v)  # a row's own text is no part of the counts that serve it
+        top = (every - own + 1) / ((every - own).sum() + len(langs))
+        above = top if suffix is None else smooth(by_suffix[(suffix,)] - own, top)
+        prior = above if host is None else smooth(by_host[(suffix, host)] - own, above)
+        said = np.zeros(3) if decl is None else np.log(smooth(by_decl[(decl,)] - own, top) / top)
         p = soft(v + said + np.log(prior))
         want[k] = (langs[int(p.argmax())], p.max())
     for most in (0, 1000):

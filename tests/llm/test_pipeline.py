@@ -44,9 +44,11 @@ def accepted(row, rows, table, cache={}):  # noqa: B006
             nats = langid.nats_of(table, langid.trigrams(r["text"]))
             cache[r["doc_id"]] = nats
             cache[("host", r["source"])] = cache.get(("host", r["source"]), 0) + soft(nats)
-        every = sum(soft(cache[r["doc_id"]]) for r in rows)
-        cache["top"] = (every + 1) / (every.sum() + len(every))
-    p = soft(cache[row["doc_id"]] + np.log(smooth(cache[("host", row["source"])], cache["top"])))
+        cache["every"] = sum(soft(cache[r["doc_id"]]) for r in rows)
+    own = soft(cache[row["doc_id"]])  # its own text is no part of the counts that serve it
+    others = cache["every"] - own
+    top = (others + 1) / (others.sum() + len(others))
+    p = soft(cache[row["doc_id"]] + np.log(smooth(cache[("host", row["source"])] - own, top)))
     return p.max() >= langid.LEAST_POSTERIOR and langid.letter_share(row["text"]) >= langid.LEAST_LETTERS
 
 
