@@ -87,3 +87,17 @@ def test_keys_of_similar_sets_meet():
         h = rng.integers(0, 1 << 63, 90, dtype=np.uint64)
         assert (neardup.keys_of(h[:80]) == neardup.keys_of(h[:80][::-1])).all()
         assert (neardup.keys_of(h[:81]) == neardup.keys_of(np.r_[h[9:81], h[81:]])).any()  # 72 of 90 in common
+
+
+def test_boilerplate_is_not_checked_pair_by_pair(spark, monkeypatch):
+    """Texts of which half is the same words share keys with each other; what is checked grows with them, not with their pairs."""
+    told, checked = neardup.similar, []
+    monkeypatch.setattr(neardup, "similar", lambda *a: (checked.append(a[0].count()), told(*a))[1])
+    base, per_text = " ".join(f"word{k}" for k in range(150)), []
+    for n in (200, 600):
+        checked.clear()
+        rows = [(k, f"{base} " + " ".join(f"own{k}x{j}" for j in range(100))) for k in range(n)] + [(n, f"{base} " + " ".join(f"own0x{j}" for j in range(99)))]
+        got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert got == {k: 0 if k == n else k for k in range(n + 1)}
+        per_text.append(sum(checked) / n)
+    assert per_text[1] < 2 * neardup.LEADS * neardup.BANDS and per_text[1] < 1.5 * per_text[0] + 1
