@@ -118,9 +118,11 @@ def links(prints: DataFrame, texts: DataFrame, words: int, percent: int, distanc
     known = lambda pairs: sets_of(texts, pairs.select(F.explode(F.array("a", "b")).alias("fp")), words)
     found = written(similar(close, known(close), percent), "links")
 
+    groups = components(found)
+
     def rooted(of: DataFrame) -> DataFrame:
         """With the group (root) that the links so far give each text."""
-        return of.join(components(found), F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp")).drop("node")
+        return of.join(groups, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp")).drop("node")
 
     def apart(of: DataFrame) -> DataFrame:
         """The rows whose key joins several groups."""
@@ -142,6 +144,7 @@ def links(prints: DataFrame, texts: DataFrame, words: int, percent: int, distanc
         if not pairs.isEmpty():
             tried = tried.union(pairs)
             found = written(found.union(similar(pairs, known(pairs) if sets is None else sets, percent)), "links")
+            groups = components(found)
         # Leads have met all texts of their keys; those after them may still be apart from each other.
         done = heads.groupBy("key").agg(F.max("fp").alias("done"))
         after = rest.join(done.hint("merge"), "key").where("fp > done").select("fp", "n", "key")
