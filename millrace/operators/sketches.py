@@ -45,9 +45,9 @@ class Store:
         return self.read().select("day").distinct().count() - before
 
     def merged(self, span: Column) -> DataFrame:
-        """span, grp, n, keys by HLL and by theta, and the quartiles of values, from the days' sketches alone."""
+        """span, grp, n, keys by HLL and by theta, and the quartiles of values (null without any), from the days' sketches alone."""
         by = self.read().groupBy(span.alias("span"), "grp").agg(F.sum("n").alias("n"), F.hll_union_agg("hll", F.lit(True)).alias("hll"), F.theta_union_agg("theta", F.lit(THETA)).alias("theta"), F.kll_merge_agg_double("kll", F.lit(KLL)).alias("kll"))
-        quartiles = F.kll_sketch_get_quantile_double("kll", F.array(*(F.lit(q) for q in (0.25, 0.5, 0.75))))
+        quartiles = F.when(F.kll_sketch_get_n_double("kll") > 0, F.kll_sketch_get_quantile_double("kll", F.array(*(F.lit(q) for q in (0.25, 0.5, 0.75)))))
         return by.select("span", "grp", "n", F.hll_sketch_estimate("hll").alias("keys_hll"), F.theta_sketch_estimate("theta").alias("keys_theta"), quartiles.alias("quartiles"))
 
 
