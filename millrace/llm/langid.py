@@ -192,7 +192,7 @@ def identify(df: DataFrame, kept: list[str], languages: list[str], text_col: str
     raised = F.zip_with(smoothed(F.col("__of_declared"), "__top"), "__top", lambda a, b: F.log(a / b))
     levels = levels.withColumn("__declared_nats", F.when(F.col("__declared") == "", F.array(*[F.lit(0.0)] * n)).otherwise(raised))
     logs = F.zip_with(F.zip_with(F.col("__nats"), F.col("__declared_nats"), lambda a, b: a + b), F.transform("__prior", lambda q: F.log(q)), lambda a, b: a + b)
-    done = levels.withColumn("__post", posterior(logs))
+    done = levels.withColumn("__logs", logs).withColumn("__post", posterior(F.col("__logs")))
     best = F.array_max("__post")
     names = F.array(*map(F.lit, languages))
     pick = lambda a: F.element_at(names, F.array_position(a, F.array_max(a)).cast("int"))
