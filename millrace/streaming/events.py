@@ -14,6 +14,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,6 +64,9 @@ def _text(c: str):
 #: What the last watermark, an hour behind the latest event, has passed; event times count in milliseconds there.
 _MARK = "(select date_trunc('milliseconds', max(ts)) - interval 1 hour from events)"
 
+#: Later than any timer; so many users share a key of the sessions by timers.
+_NEVER, USERS_A_KEY = np.iinfo(np.int64).max, 128
+
 
 @query(f"""select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') as start, event_type, count(*) as n, round(sum(value), 4) as total from events
 where date_trunc('hour', ts) + interval 1 hour <= {_MARK} group by start, event_type""")
@@ -171,47 +175,62 @@ def in_batches(spark: SparkSession, sf_dir: str, batches: int = 4, files: int =
 
 
 class Sessions(StatefulProcessor):
-    """Open sessions of each user; a session's row comes when its timer ends, `GAP_MS` of event time after its last event."""
+    """Open sessions of the users of a key; a session's row comes when the watermark has passed `GAP_MS` after its last event.
+
+    A key is a user or a group of users, null users by themselves under a null key. It has one timer, for the session that ends first;
+    what it finds ended goes out as one frame, so that calls and frames follow the keys and not the sessions.
+    """
 
     GAP_MS = 30 * 60 * 1000
+    COLUMNS = ("user_id", "first", "last", "n")
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getListState("open", "first bigint, last bigint, n bigint")
+        self.open = handle.getValueState("open", "sessions binary")  # rows of COLUMNS; a list state would be a call a row
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        before = [tuple(r) for r in self.open.get()] if self.open.exists() else []
-        fresh = [(t, t, 1) for pdf in rows for t in pdf["at_us"].tolist()]
-        merged: list[tuple[int, int, int]] = []
-        for first, last, n in sorted(before + fresh):
-            if merged and first - merged[-1][1] < self.GAP_MS * 1000:
-                a, b, m = merged[-1]
-                merged[-1] = (a, max(b, last), m + n)
-            else:
-                merged.append((first, last, n))
-        ends = {self._ends(s) for s in merged}
-        for t in {self._ends(s) for s in before} - ends:
-            self.handle.deleteTimer(t)
-        for t in ends - {self._ends(s) for s in before}:
-            self.handle.registerTimer(t)
-        self.open.put(merged)
+        held = self._held()
+        fresh = [np.stack([pdf["user_id"].to_numpy() if key[0] is not None else at * 0, at, at, at * 0 + 1], axis=1).astype(np.int64) for pdf in rows for at in [pdf["at_us"].to_numpy()]]
+        merged = self._merged(np.concatenate([held, *fresh]))
+        self.open.update((merged.tobytes(),))
+        due, before = self._ends(merged).min(), self._ends(held).min(initial=_NEVER)
+        if due != before:
+            if len(held):
+                self.handle.deleteTimer(int(before))
+            self.handle.registerTimer(int(due))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        held, now = [tuple(r) for r in self.open.get()], expiredTimerInfo.getExpiryTimeInMs()
-        gone, left = [s for s in held if self._ends(s) <= now], [s for s in held if self._ends(s) > now]
-        if left:
-            self.open.put(left)
+        held = self._held()
+        over = self._ends(held) <= max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        gone, left = held[over], held[~over]
+        if len(left):
+            self.open.update((left.tobytes(),))
+            self.handle.registerTimer(int(self._ends(left).min()))
         else:
             self.open.clear()
-        yield pd.DataFrame({"user_id": [key[0]] * len(gone), "start_us": [s[0] for s in gone], "end_us": [s[1] for s in gone], "n": [s[2] for s in gone]})
+        if len(gone):
+            users = pd.array(gone[:, 0] if key[0] is not None else [None] * len(gone), dtype="Int64")
+            yield pd.DataFrame({"user_id": users, "start_us": gone[:, 1], "end_us": gone[:, 2], "n": gone[:, 3]})
 
     def close(self) -> None:
         pass
 
-    def _ends(self, session: tuple[int, int, int]) -> int:
+    def _held(self) -> np.ndarray:
+        rows = self.open.get()
+        return np.frombuffer(rows[0] if rows else b"", np.int64).reshape(-1, len(self.COLUMNS))
+
+    def _merged(self, rows: np.ndarray) -> np.ndarray:
+        """Sessions of rows that are sessions or events, by user and time."""
+        s = pd.DataFrame(rows, columns=list(self.COLUMNS)).sort_values(["user_id", "first"], kind="stable")
+        users, first = s["user_id"].to_numpy(), s["first"].to_numpy()
+        upto = s.groupby("user_id")["last"].cummax().to_numpy()
+        begins = np.flatnonzero(np.concatenate(([True], (users[1:] != users[:-1]) | (first[1:] - upto[:-1] >= self.GAP_MS * 1000))))
+        return np.stack([users[begins], first[begins], np.maximum.reduceat(s["last"].to_numpy(), begins), np.add.reduceat(s["n"].to_numpy(), begins)], axis=1)
+
+    def _ends(self, sessions: np.ndarray) -> np.ndarray:
         """In milliseconds, as timers count, up."""
-        return -(-session[1] // 1000) + self.GAP_MS
+        return -(-sessions[:, 2] // 1000) + self.GAP_MS
 
 
 def with_rocksdb(spark: SparkSession, make):
@@ -229,8 +248,14 @@ def with_rocksdb(spark: SparkSession, make):
 s as (select user_id, ts, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) as k from g)
 select user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') as start, strftime(max(ts), '%Y-%m-%d %H:%M:%S') as "end", count(*) as n from s group by user_id, k having max(ts) + interval 30 minute <= {_MARK}""")
 def stream_session_timers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sessions in four batches by arbitrary state: every row comes from a timer that ended, in this batch or a later one."""
-    keyed = in_batches(spark, sf_dir).select("user_id", "ts", F.unix_micros("ts").alias("at_us")).groupBy("user_id")
+    """Sessions in four batches by arbitrary state: every row comes from a timer that ended, in this batch or a later one.
+
+    The state's keys are groups of some `USERS_A_KEY` users, whose sessions are merged together as arrays.
+    """
+    users = table(spark, sf_dir, "events").agg(F.approx_count_distinct("user_id")).first()[0]
+    group = F.pmod(F.xxhash64("user_id"), F.lit(-(-users // USERS_A_KEY) or 1))
+    rows = in_batches(spark, sf_dir).where("ts is not null").select(F.when(F.col("user_id").isNotNull(), group).alias("users"), "user_id", "ts", F.unix_micros("ts").alias("at_us"))
+    keyed = rows.groupBy("users")
     out = keyed.transformWithStateInPandas(Sessions(), "user_id bigint, start_us bigint, end_us bigint, n bigint", "Append", "EventTime")
     done = with_rocksdb(spark, lambda: finish(out, "append", "session-timers"))
     return done.select("user_id", _text_of_micros("start_us").alias("start"), _text_of_micros("end_us").alias("end"), "n")

@@ -3,6 +3,7 @@
 import os
 from datetime import datetime, timedelta
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from millrace.operators.sketches import Store
@@ -56,3 +57,49 @@ def test_timers_end_in_a_running_stream(spark, tmp_path):
     events.with_rocksdb(spark, lambda: events.run(writer))
     assert sorted(x for b in seen for x in b) == [(1, 60, 2), (1, 480, 1), (2, 120, 1), (2, 481, 1), (3, 179, 2), (3, 482, 1)]
     assert len([b for b in seen if b]) > 1  # in more than one batch; the session at 14:00 is still open
+
+
+def test_sessions_of_many_users_share_a_timer(spark, tmp_path):
+    """Users in groups, null users too: the same sessions, an end on the watermark itself among them, and few calls whatever the sessions."""
+    begin = datetime(2024, 1, 1)
+    rows = [(u * 1000 + k, begin + timedelta(minutes=k * (17 if u % 3 else 45), seconds=u), u if u < 40 else None) for u in range(41) for k in range(60)]
+    end = max(r[1] for r in rows) + timedelta(hours=9)
+    rows += [(90_000, end, 3), (90_001, end - timedelta(minutes=90), 5), (90_002, end - timedelta(minutes=89), 6)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    got = sorted(map(tuple, events.stream_session_timers(spark, str(tmp_path)).collect()), key=str)
+    want = []
+    for user in {r[2] for r in rows}:
+        held = []
+        for at in sorted(r[1] for r in rows if r[2] == user):
+            if held and at - held[-1][1] < timedelta(minutes=30):
+                held[-1] = (held[-1][0], at, held[-1][2] + 1)
+            else:
+                held.append((at, at, 1))
+        want += [(user, str(a), str(b), n) for a, b, n in held if b + timedelta(minutes=30) <= end - timedelta(hours=1)]
+    assert got == sorted(want, key=str) and {5, None} < {r[0] for r in got} and not any(r[0] == 6 and r[1] > str(end - timedelta(hours=2)) for r in got)
+
+
+def test_a_key_has_one_timer():
+    """However many sessions are open, one timer stands; when it ends, all that the watermark has passed go out in one frame."""
+
+    class Handle:
+        def __init__(self):
+            self.timers, self.value = set(), None
+
+        getListState = getValueState = lambda self, *_: self
+        exists = lambda self: self.value is not None
+        get = lambda self: self.value
+        put = update = lambda self, value: setattr(self, "value", value)
+        clear = lambda self: setattr(self, "value", None)
+        registerTimer = lambda self, t: self.timers.add(t)
+        deleteTimer = lambda self, t: self.timers.remove(t)
+        getCurrentWatermarkInMs = lambda self: 50 * 3_600_000
+        getExpiryTimeInMs = lambda self: 1_800_000
+
+    handle, sessions = Handle(), events.Sessions()
+    sessions.init(handle)
+    list(sessions.handleInputRows((1,), iter([pd.DataFrame({"user_id": [1] * 100, "at_us": [k * 3_600_000_000 for k in range(100)]})]), handle))
+    assert handle.timers == {1_800_000}
+    handle.timers.clear()
+    out = list(sessions.handleExpiredTimer((1,), handle, handle))
+    assert [len(f) for f in out] == [50] and handle.timers == {50 * 3_600_000 + 1_800_000}
