@@ -65,14 +65,19 @@ def dyadic_cover(low: Column, high: Column) -> Column:
     return F.flatten(F.transform(levels, at))
 
 
+def _grid(c: Column, width: float) -> Column:
+    """The step of a grid that `c` is in; never falls as `c` rises."""
+    most = float(1 << 60)
+    return F.floor(F.greatest(F.least(c.cast("double") / F.lit(float(width)), F.lit(most)), F.lit(-most))).cast("long")
+
+
 def range_join(left: DataFrame, right: DataFrame, point: Column, low: Column, high: Column, width: float) -> DataFrame:
     """Rows where low <= point <= high, without a common key, for ranges of any width.
 
     Numbers go to a grid with steps of `width`. A range is cut into dyadic cells, some two for each doubling of its width; a point is
     in one cell of every level that any range has. A point meets a range in exactly one cell, so no pair comes twice.
     """
-    most = float(1 << 60)
-    grid = lambda c: F.floor(F.greatest(F.least(c.cast("double") / F.lit(float(width)), F.lit(most)), F.lit(-most))).cast("long")
+    grid = lambda c: _grid(c, width)
     ranged = right.withColumn("__cover", F.explode(F.when(low <= high, dyadic_cover(grid(low), grid(high))))).withColumns({"__level": F.col("__cover.level"), "__cell": F.col("__cover.cell")}).drop("__cover")
     levels = sorted(r[0] for r in ranged.select("__level").distinct().collect())  # 62 at most
     if not levels:
@@ -82,6 +87,41 @@ def range_join(left: DataFrame, right: DataFrame, point: Column, low: Column, hi
     return points.join(ranged, ["__level", "__cell"]).where((point >= low) & (point <= high)).drop("__level", "__cell")
 
 
+def range_parts(points: DataFrame, ranges: DataFrame, point: str, low: str, high: str, width: float, parts: dict[str, tuple[Column, Callable[[Column], Column]]]) -> DataFrame:
+    """low, high and the partial aggregates that make up each distinct range: those of whole cells, and of single values at its two ends.
+
+    Steps strictly between those of a range's ends hold no point outside of it. They are covered by dyadic cells, each of which has
+    been aggregated once, whatever number of ranges holds it. In the steps of the ends every distinct value is compared.
+    """
+    merged = [merge(F.col(name)).alias(name) for name, (_, merge) in parts.items()]
+    values = points.where(F.col(point).isNotNull()).groupBy(F.col(point).cast("double").alias("__p")).agg(*(made.alias(name) for name, (made, _) in parts.items()))
+    values = values.withColumn("__cell", _grid(F.col("__p"), width))
+    distinct = ranges.select(F.col(low).cast("double").alias("__low"), F.col(high).cast("double").alias("__high")).where("__low <= __high").distinct()
+    first, last = _grid(F.col("__low"), width), _grid(F.col("__high"), width)
+    ends = distinct.withColumn("__cell", F.explode(F.array_distinct(F.array(first, last))))
+    at_ends = ends.join(values, "__cell").where("__p >= __low and __p <= __high").select("__low", "__high", *parts)
+    covers = distinct.withColumn("__cover", F.explode(dyadic_cover(first + 1, last - 1))).select("__low", "__high", F.col("__cover.level").alias("__level"), F.col("__cover.cell").alias("__cell"))
+    levels = sorted(r[0] for r in covers.select("__level").distinct().collect())  # 62 at most
+    if not levels:
+        return at_ends
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("level"), F.shiftright("__cell", k).alias("cell")) for k in levels)))
+    cells = values.withColumn("__in", each).groupBy(F.col("__in.level").alias("__level"), F.col("__in.cell").alias("__cell")).agg(*merged)
+    return at_ends.unionByName(covers.join(cells, ["__level", "__cell"]).select("__low", "__high", *parts))
+
+
+def range_aggregate(points: DataFrame, ranges: DataFrame, point: str, low: str, high: str, width: float, parts: dict[str, tuple[Column, Callable[[Column], Column]]]) -> DataFrame:
+    """`ranges` with aggregates of the points from low to high, without those that hold none; no pair of a point and a range is made.
+
+    `parts` gives for each name an aggregate of points and the function that merges such aggregates, as (F.count("*"), F.sum). Work grows
+    with points and ranges, times the levels of the grid, and not with the points in a range. `width` should leave few distinct values
+    in a step; point, low and high count as doubles.
+    """
+    merged = [merge(F.col(name)).alias(name) for name, (_, merge) in parts.items()]
+    found = range_parts(points, ranges, point, low, high, width, parts).groupBy("__low", "__high").agg(*merged)
+    keyed = ranges.withColumns({"__low": F.col(low).cast("double"), "__high": F.col(high).cast("double")})
+    return keyed.join(found, ["__low", "__high"]).drop("__low", "__high")
+
+
 @query("select o_orderkey, c_name from orders join customer on o_custkey = c_custkey where c_acctbal > 5000")
 def join_inner(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders, customer = tables(spark, sf_dir, "orders", "customer")
@@ -201,11 +241,12 @@ _WIDE = "select s_suppkey as k, 4000.0 * (s_suppkey % 100) as low, 4000.0 * (s_s
 
 @query(f"select k, count(*) as n, min(o_orderkey) as first_order, cast(sum(o_orderkey) as bigint) as keys from orders join ({_WIDE}) r on o_totalprice >= low and o_totalprice <= high group by k")
 def join_ranges_of_any_width(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ranges from 1 to 10^6 wide, on a grid of cents."""
+    """Ranges from 1 to 10^6 wide, on a grid of cents; what lies in a range is put together from aggregated cells."""
     register(spark, sf_dir, ("supplier",))
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
-    met = range_join(orders, spark.sql(_WIDE), F.col("o_totalprice"), F.col("low"), F.col("high"), 0.01)
-    return met.groupBy("k").agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first_order"), F.sum("o_orderkey").alias("keys"))
+    parts = {"n": (F.count("*"), F.sum), "first_order": (F.min("o_orderkey"), F.min), "keys": (F.sum("o_orderkey"), F.sum)}
+    met = range_aggregate(orders, spark.sql(_WIDE), "o_totalprice", "low", "high", 0.01, parts)
+    return met.groupBy("k").agg(*(merge(name).alias(name) for name, (_, merge) in parts.items()))
 
 
 @query("""select a.event_id, b.event_id as asof_seen, round(b.value, 4) as asof_value from (select * from events where event_type = 'purchase') a

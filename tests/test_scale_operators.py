@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from millrace.operators.joins import dyadic_cover, range_join
+from millrace.operators.joins import dyadic_cover, range_aggregate, range_join, range_parts
 from millrace.operators.nearest import exact_neighbours
 from millrace.operators.overlap import shared_passages
 from millrace.operators.scans import running, sessions, with_stretches
@@ -98,6 +98,31 @@ def test_ranges_of_any_width_equal_the_nested_loop(spark):
     assert range_join(points, right.limit(0), F.col("p"), F.col("lo"), F.col("hi"), 1.0).count() == 0
 
 
+def parts():
+    return {"n": (F.count("*"), F.sum), "least": (F.min("id"), F.min), "ids": (F.sum("id"), F.sum)}
+
+
+def test_aggregates_of_ranges_equal_the_nested_loop(spark):
+    rng = random.Random(6)
+    values = [rng.choice([rng.uniform(-1e6, 1e6), rng.uniform(-20, 20), float(rng.randint(-5, 5)), 0.1 * rng.randint(-30, 30)]) for _ in range(600)]
+    points = spark.createDataFrame(list(enumerate([*values, None, float("nan"), float("inf"), 1e300, float("-inf"), -0.0])), "id long, p double").repartition(4)
+    ranges = [(k % 50, x, x + 10 ** rng.randint(-1, 6)) for k in range(80) for x in [rng.choice([rng.uniform(-1e5, 1e5), *values[:9]])]] + [(70, 1.0, 1.0), (71, 2.0, 1.0), (72, None, 5.0), (73, float("-inf"), 0.5), (74, -3.0, float("inf")), (75, 0.3, 0.7), (76, 0.3, 0.7), (None, 0.0, 9.0)]
+    right = spark.createDataFrame(ranges, "k long, lo double, hi double")
+    want = points.crossJoin(right).where("p >= lo and p <= hi").groupBy("k", "lo", "hi").agg(F.count("*").alias("n"), F.min("id").alias("least"), F.sum("id").alias("ids"))
+    want = sorted(map(tuple, want.collect()), key=str)
+    for width in (0.01, 0.25, 1e5):
+        assert sorted(map(tuple, range_aggregate(points, right, "p", "lo", "hi", width, parts()).select("k", "lo", "hi", *parts()).collect()), key=str) == want
+    assert range_aggregate(points, right.limit(0), "p", "lo", "hi", 1.0, parts()).count() == range_aggregate(points.limit(0), right, "p", "lo", "hi", 1.0, parts()).count() == 0
+
+
+def test_ranges_meet_cells_and_not_points(spark):
+    """20,000 points in each of 300 ranges are 6 million pairs; what is put together is some two parts a level for each range."""
+    points = spark.range(20_000).select("id", (F.col("id") * 0.37).alias("p"))
+    ranges = spark.range(300).select(F.col("id").alias("k"), (-1.0 - F.col("id")).alias("lo"), (8000.0 + F.col("id")).alias("hi"))
+    assert range_parts(points, ranges, "p", "lo", "hi", 0.01, parts()).count() < 300 * 2 * 22
+    assert {tuple(r)[3:] for r in range_aggregate(points, ranges, "p", "lo", "hi", 0.01, parts()).collect()} == {(20_000, 0, 19_999 * 10_000)}
+
+
 def longest_common(a, b):
     best = (0, 0, 0)
     for i in range(len(a)):
