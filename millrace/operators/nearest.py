@@ -120,7 +120,8 @@ def exact_neighbours(df: DataFrame, asked: Column, id_col: str, vector_col: str,
 
     def met(asking: DataFrame, label: str) -> DataFrame:
         asking = _kept(asking, "asking")
-        blocks = has.join(asking.groupBy("pivot").agg(F.ceil(F.count("*") / block_queries).cast("int").alias("qb")), "pivot")
+        # A row a pivot. The other side repeats vectors, which its files hold once: by their size it would be broadcast, unpacked, itself.
+        blocks = F.broadcast(has.join(asking.groupBy("pivot").agg(F.ceil(F.count("*") / block_queries).cast("int").alias("qb")), "pivot"))
         slot = lambda key, n: F.pmod(F.xxhash64(key, F.lit(3)), F.col(n)).cast("int")
         every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
         left = asking.join(blocks, "pivot").withColumn("x", slot("q", "qb")).withColumn("y", every("cb")).select("pivot", "x", "y", "q", "v", "bound")

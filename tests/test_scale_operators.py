@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from millrace.operators import nearest
 from millrace.operators.joins import dyadic_cover, range_aggregate, range_join, range_parts
 from millrace.operators.nearest import exact_neighbours
 from millrace.operators.overlap import shared_passages
@@ -175,3 +176,23 @@ def test_exact_neighbours_equal_brute_force(spark):
             assert sorted(found) == [(n + 1, k, round(float(v), 9)) for n, (v, k) in enumerate(want)]
     assert exact_neighbours(df.limit(0), F.lit(True), "vec_id", "embedding").count() == 0
     assert exact_neighbours(df.where("vec_id < 3"), F.col("vec_id") == 0, "vec_id", "embedding").count() == 2
+
+
+def test_vectors_of_queries_are_not_broadcast(spark, monkeypatch):
+    """Repeated vectors make small files, by whose size Spark took them for the small side of a join: the pivots' counts are it."""
+    plans = {}
+
+    def kept(df, label, write=nearest._kept):
+        plans[label] = df._jdf.queryExecution().sparkPlan().toString()
+        return write(df, label)
+
+    monkeypatch.setattr(nearest, "_kept", kept)
+    df = spark.range(200).select("id", F.array(*(F.rand(k) for k in range(4))).alias("v"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert exact_neighbours(df, F.col("id") % 20 == 0, "id", "v").count() == 100
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    for label in ("near", "rest"):
+        assert plans[label].count("BuildRight") == 2 and "BuildLeft" not in plans[label]
