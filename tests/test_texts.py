@@ -2,11 +2,13 @@
 
 from html.parser import HTMLParser
 
+import duckdb
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from millrace.functions import markup, masking
+from tests.compare import compare
 
 
 @pytest.mark.parametrize(
@@ -155,3 +157,14 @@ def test_long_pages_are_read_in_linear_time():
     for html in ("<" * 200_000, "<a href='" * 50_000, "<!--" * 50_000, "<p " * 50_000, "&amp" * 50_000, "<script>" * 50_000, "<p>x" * 100_000, "</" * 100_000, "<a b=c d=\"e\"" * 20_000):
         markup.blocks(html)
     assert time.time() - began < 20
+
+
+def test_pages_decode_the_references_of_their_sql(spark, tmp_path):
+    """References that were cut, that have no `;` or that titles don't decode, as in titles cut at a length."""
+    pages = ["<html><head><title>a &amp;&amp</title></head><body><h1>b &amp;&am</h1><p>c &amp &copy; &copy d&middot;&quot;</p></body></html>", "<title>say &quot;x&lt;y&amp;lt;</title><p>&nbsp;q&amp;quot;&#65;&gt;&lt</p>"]
+    spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").coalesce(1).write.parquet(f"{tmp_path}/t")
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/t/*.parquet'")
+    spark.read.parquet(f"{tmp_path}/t").write.parquet(f"{tmp_path}/pages.parquet")
+    compare(markup.text_of_pages(spark, str(tmp_path)), con, markup._TAGS)
+    assert markup.blocks("<p>a &amp b &copy</p>") == [("p", "a & b ©", 0)]  # the tokenizer by itself keeps to the standard
