@@ -165,3 +165,11 @@ def test_scratch_folders_must_be_shared():
         scratch(Session(), "x")
     Session.sparkContext.master = "local[4]"
     assert "millrace-" in scratch(Session(), "x")
+
+
+def test_levels_of_a_tree_are_not_joined_by_broadcast(spark):
+    """Each level would send the whole table of parts through the driver."""
+    from millrace.operators.sets import set_recursive
+
+    plan = set_recursive(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=merge" in plan and "strategy=broadcast" not in plan
